@@ -8,19 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import read
 from .packing import pack
+from .quality_rules import judge
+from .simhash import near_duplicates
 from .token_files import token_digest
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {}
