@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import read
+from .mixing import mix
 from .packing import pack
 from .quality_rules import judge
 from .simhash import near_duplicates
@@ -30,6 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {}
