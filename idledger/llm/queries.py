@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .cluster import read
 from .html_text import extract
+from .licenses import scan_licences
 from .mixing import mix
 from .packing import pack
+from .quality_classifier import resample
 from .quality_rules import judge
 from .simhash import near_duplicates
 from .token_files import token_digest
@@ -38,10 +40,18 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
 
@@ -56,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
     "op5_html_text": op5_html_text,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_token_ids": op10_token_ids,
 }
