@@ -43,3 +43,18 @@ def unit_interval(*parts: Column | str) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+class SetAside:
+    """A table whose columns are called in_0, in_1, ..., so that no name clashes with an operator's own."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.rows = df.toDF(*(f"in_{i}" for i in range(len(self.names))))
+
+    def column(self, name: str) -> Column:
+        return F.col(f"in_{self.names.index(name)}")
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        """The table's own columns of df, under their names."""
+        return df.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(self.names)])

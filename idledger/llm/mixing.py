@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialised, unit_interval
+from .cluster import SetAside, materialised, unit_interval
 from .quality_rules import _let, words_of
 
 #: Hash buckets of words, and labelled documents that the classifier learns from at most.
@@ -157,8 +157,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", *, weights: di
 def draw(docs: DataFrame, labels: DataFrame, domain: str = "lang", **options) -> DataFrame:
     """The documents, each as often as mix() says, with their columns."""
     drawn = mix(docs, labels, domain, **options).select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "copies").where("copies > 0").distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    taken = docs.join(drawn, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (key == F.col("mix_key")))
-    names = docs.columns
-    often = taken.where("copies > 1").withColumn("copy_number", F.explode(F.sequence(F.lit(2), F.col("copies"))))
-    return taken.select(names).unionByName(often.select(names))
+    own = SetAside(docs)
+    key = F.xxhash64(F.coalesce(own.column("text").cast("string"), F.lit("")))
+    taken = own.rows.join(drawn, own.column("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (key == F.col("mix_key")))
+    often = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
+    return own.restored(taken.withColumn("copy", F.explode(often)))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import WORD_SPACE, materialised
+from .cluster import WORD_SPACE, SetAside, materialised
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -180,5 +180,6 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold: float
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that judge() keeps, with their columns. Rows that share a doc_id are kept or dropped by their own text."""
     out = judge(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (key == F.col("bad_key")), "left_anti")
+    own = SetAside(docs)
+    key = F.xxhash64(F.coalesce(own.column("text").cast("string"), F.lit("")))
+    return own.restored(own.rows.join(out, own.column("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (key == F.col("bad_key")), "left_anti"))

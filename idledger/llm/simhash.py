@@ -15,10 +15,10 @@ from itertools import product, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import materialised
+from .cluster import SetAside, materialised
 from .components import components
 
 SEED = 42
@@ -178,13 +178,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     marked = materialised(near_duplicates(docs, **options))
     keep = marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    left = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    own = SetAside(docs)
+    named = own.rows.withColumn("doc_id", own.column("doc_id").cast("long"))
+    left = named.join(keep.select("doc_id"), "doc_id", "left_semi")
     twice = keep.where("rows > 1").select("doc_id")
     if not twice.isEmpty():
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(own.column("text")))
         one = left.join(twice, "doc_id", "left_semi").withColumn("row_in_id", F.row_number().over(order)).where("row_in_id = 1").drop("row_in_id")
         left = left.join(twice, "doc_id", "left_anti").unionByName(one)
-    nameless = docs.where("doc_id is null")
-    return left.unionByName(nameless).select(docs.columns)
+    return own.restored(left.unionByName(named.where("doc_id is null")))

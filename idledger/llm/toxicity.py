@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialised
+from .cluster import SetAside, materialised
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
@@ -87,7 +87,7 @@ class BlockMaxIndex:
         return (np.concatenate(docs), np.concatenate(scores)) if docs else (np.zeros(0, np.int64), np.zeros(0))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best, best first, ties by key; documents that share no term are not found."""
+        """Positions and scores of the k best, best first, ties (to 12 digits) by key; documents that share no term are not found."""
         bound, query = np.zeros(self.blocks), np.zeros(self.terms)
         query[terms] = weights
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
@@ -106,7 +106,7 @@ class BlockMaxIndex:
             fresh = found[0] != (-1 if without is None else without)
             docs, scores = np.concatenate([docs, found[0][fresh]]), np.concatenate([scores, found[1][fresh]])
             done, take = done + take, take * 2
-        top = np.lexsort((self.keys[docs], -scores))[:k]
+        top = np.lexsort((self.keys[docs], -np.round(scores, 12)))[:k]
         return docs[top], scores[top]
 
 
@@ -265,7 +265,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
     model = train(docs, labels, **options)
-    narrow = docs.select([F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)])
-    text = f"in_{docs.columns.index('text')}"
-    kept = score(narrow.withColumn("text", F.col(text)), model).where("predicted = 0")
-    return kept.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own = SetAside(docs)
+    kept = score(own.rows.withColumn("text", own.column("text")), model).where("predicted = 0")
+    return own.restored(kept)
