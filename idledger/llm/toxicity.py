@@ -22,8 +22,10 @@ from .cluster import SetAside, materialised
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
-#: Terms kept at most, the least evidence (twice the log likelihood ratio) and documents for one.
+#: Terms kept at most, and the least evidence (twice the log likelihood ratio) and toxic examples for one.
 TERMS, EVIDENCE, SUPPORT = 4096, 20.0, 5
+#: Terms of toxic examples whose evidence is counted at most: those of the most examples.
+CANDIDATES = 200_000
 NEIGHBOURS = 15
 BLOCK = 64
 _WORD = re.compile(r"\w+")
@@ -40,15 +42,14 @@ def terms_of(text: str | None, heads: frozenset[str] | None = None) -> Counter:
     words = Counter(_WORD.findall((text or "").lower()))
     if heads is not None:
         words = {w: words[w] for w in words if w[:4] in heads}
-    out: Counter = Counter()
-    for w, n in words.items():
-        out[w] += n
-        for k in _HEADS:
+    out = dict(words)
+    for k in _HEADS:
+        for w, n in words.items():
             if len(w) > k:
-                out["^" + w[:k]] += n
-    for k in _TIMES:
-        out.update({f"{k}*{t}": 1 for t, n in list(out.items()) if n >= k and t[0] not in "24"})
-    return out
+                head = "^" + w[:k]
+                out[head] = out.get(head, 0) + n
+    often = {f"{k}*{t}": 1 for k in _TIMES for t, n in out.items() if n >= k}
+    return Counter(out | often) if often else Counter(out)
 
 
 class BlockMaxIndex:
@@ -114,7 +115,7 @@ class ToxicityModel:
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[float]]], neighbours: int = NEIGHBOURS):
         self.number = {t: i for i, t in enumerate(terms)}
         self.terms, self.idf, self.neighbours = terms, idf, neighbours
-        self.heads = frozenset(t.lstrip("24").lstrip("*").lstrip("^")[:4] for t in terms)
+        self.heads = heads_of(terms)
         known = [x for x in examples if x[2]]
         self.index = BlockMaxIndex(np.array([x[0] for x in known], np.int64), [(np.array(x[2], np.int64), np.array(x[3])) for x in known], len(terms))
         label = {x[0]: x[1] for x in known}
@@ -168,6 +169,27 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def heads_of(terms) -> frozenset[str]:
+    """The first four letters of every word that can give one of the terms."""
+    return frozenset(re.sub(r"\A(?:\d\*)?\^?", "", t)[:4] for t in terms)
+
+
+def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(term, n): in how many texts each term occurs, of those in `only` if given."""
+    heads = heads_of(only) if only is not None else None
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                found = terms_of(text, heads).keys()
+                seen.update(found if only is None else found & only)
+        if seen:
+            yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())})
+
+    return rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Learn from the labelled documents that are not held out; at most `examples` of them.
 
@@ -182,22 +204,14 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
     known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # chosen: at most `examples` rows
     known = materialised(known)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                seen[int(toxic > 0)].update(set(terms_of(text)))
-        every = list(seen[1].keys() | seen[0].keys())
-        for low in range(0, len(every), 50_000):
-            part = every[low : low + 50_000]
-            yield pd.DataFrame({"term": part, "bad": [seen[1][t] for t in part], "good": [seen[0][t] for t in part]})
-
     sizes = {bool(r["bad"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
         return ToxicityModel([], np.zeros(0), [(0, int(bad > 0), [], [])] * (bad + good), neighbours)
-    table = known.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    table = table.where(F.col("bad") + F.col("good") >= SUPPORT)
+    shared = _counted(known.where("toxic > 0")).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+    in_bad = {r["term"]: r["n"] for r in shared.collect()}
+    in_good = {r["term"]: r["n"] for r in _counted(known.where("toxic <= 0"), frozenset(in_bad)).collect()}
+    table = docs.sparkSession.createDataFrame([(t, n, in_good.get(t, 0)) for t, n in in_bad.items()], "term string, bad long, good long")
     total = F.lit(float(bad + good))
     df = F.col("bad") + F.col("good")
 
