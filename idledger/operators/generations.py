@@ -79,3 +79,21 @@ def retained(entries: DataFrame, generations: int, column: str = "generation") -
     """entries of the newest `generations` generations. The bound is a literal, so a partitioned table is pruned."""
     newest = entries.agg(F.max(column)).first()[0]
     return entries.where(F.col(column) > F.lit((newest or 0) - generations))
+
+
+def checksums(entries: DataFrame, shards: int) -> DataFrame:
+    """(shard_id, entries, checksum): equal for equal sets of keys, in whatever order and files they lie."""
+    mixed = F.col("hash_hi").bitwiseXOR(F.col("hash_lo"))
+    return routed(entries, shards).groupBy("shard_id").agg(F.count("*").alias("entries"), F.bit_xor(mixed).alias("checksum"))
+
+
+def listing(entries: DataFrame, column: str = "generation") -> DataFrame:
+    """Generations with their number of entries and age, the newest being 0."""
+    per = entries.groupBy(column).agg(F.count("*").alias("entries"))
+    newest = per.agg(F.max(column)).first()[0]
+    return per.withColumn("age", F.lit(newest) - F.col(column)).orderBy(F.desc(column))
+
+
+def up_to(entries: DataFrame, generation: int, column: str = "generation") -> DataFrame:
+    """Entries of a generation and all before it."""
+    return entries.where(F.col(column) <= generation)

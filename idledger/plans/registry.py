@@ -218,6 +218,25 @@ def retention_visible(spark, d):
     return generations.retained(entries, GEN_KEPT).select("seq", "generation")
 
 
+@query(f"{GENERATIONS} SELECT g.generation, count(*) AS entries, (SELECT max(generation) FROM g) - g.generation AS age FROM i JOIN g ON i.batch = g.batch GROUP BY 1")
+def generations_newest_first(spark, d):
+    rows = _batched(spark, d)
+    entries = rows.join(F.broadcast(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD)), "batch")  # one row per batch
+    return generations.listing(entries)
+
+
+@query(f"{GENERATIONS} SELECT i.seq FROM i JOIN g ON i.batch = g.batch WHERE g.generation <= 2")
+def generations_up_to(spark, d):
+    rows = _batched(spark, d)
+    entries = rows.join(F.broadcast(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD)), "batch")  # one row per batch
+    return generations.up_to(entries, 2).select("seq")
+
+
+@query(f"SELECT (ulo % {SHARDS})::INTEGER AS shard_id, count(*) AS entries, bit_xor(xor(hash_hi, hash_lo)) AS checksum FROM (SELECT DISTINCT hash_hi, hash_lo, ulo FROM ({L})) GROUP BY 1")
+def shard_checksums(spark, d):
+    return generations.checksums(inputs.lines(spark, d).select("hash_hi", "hash_lo").distinct(), SHARDS)
+
+
 PRESSURE = f"SELECT s.shard_id::INTEGER AS shard_id, coalesce(u.n, 0) AS used_slots, CASE WHEN s.shard_id % 5 = 0 THEN s.shard_id ELSE 0 END AS full_failures, greatest(0, least(2147483647, (s.shard_id - 3) * 1000)) AS pending FROM (SELECT unnest(range({SHARDS})) AS shard_id) s LEFT JOIN (SELECT ulo % {SHARDS} AS shard_id, count(*) AS n FROM (SELECT DISTINCT uhi, ulo FROM ({L})) GROUP BY 1) u ON u.shard_id = s.shard_id"
 
 
@@ -324,6 +343,14 @@ def verdicts(spark, d):
     return _trials(spark, d).select("trial", workload.verdict(c("insert_p99"), c("queue_p99"), c("writer_p99"), c("depth_p99"), c("pending"), saturation=85, degraded_us=250.0).alias("verdict"))
 
 
+@query(
+    f"""SELECT trial, CASE WHEN queue_p99 > writer_p99 * 2.0 AND depth_p99 < 1.0 THEN 'waiting dominates though the queue is short: hand-off overhead'
+    WHEN queue_p99 > writer_p99 * 2.0 THEN 'waiting in the queue dominates' WHEN writer_p99 > queue_p99 * 2.0 THEN 'writing dominates' ELSE 'waiting and writing are balanced' END AS meaning FROM ({TRIALS})"""
+)
+def interpretations(spark, d):
+    return _trials(spark, d).select("trial", workload.interpretation(F.col("queue_p99"), F.col("writer_p99"), F.col("depth_p99")).alias("meaning"))
+
+
 SCORED = f"SELECT trial, round(pending / greatest(1e-9, 500 / 1000.0) + pending / greatest(1e-9, 500 / 1000.0) * 0.35 - insert_p99 * 20.0 - queue_p99 * 12.0 - (failed::DOUBLE / pending) * 1000000.0, 3) AS score FROM ({TRIALS})"
 
 

@@ -146,4 +146,23 @@ class Sidecar:
             return Sidecar.from_bytes(f.read())
 
 
-__all__ = ["EPOCH_TICKS", "Sidecar", "decode_lines", "encode_lines", "expired_from_bytes", "expired_to_bytes", "invalid_count", "read_expired", "read_journal"]
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(path, word_idx, word) of every sidecar file under a path. A file that does not check out is left out, with trusted false."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    words = [w - (1 << 64) if w >> 63 else w for w in Sidecar.from_bytes(content).words]
+                    yield pd.DataFrame({"path": name, "word_idx": range(len(words)), "word": words, "trusted": True})
+                except ValueError:
+                    yield pd.DataFrame({"path": [name], "word_idx": [0], "word": [0], "trusted": [False]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(decode, "path string, word_idx int, word long, trusted boolean")
+
+
+__all__ = ["EPOCH_TICKS", "Sidecar", "decode_lines", "encode_lines", "expired_from_bytes", "expired_to_bytes", "invalid_count", "read_expired", "read_journal", "read_sidecars"]

@@ -86,6 +86,14 @@ class HistoryStore:
         """Keys that are stored more than once."""
         return history.repeated_keys(self.entries())
 
+    def scrub(self, samples: int | None = None, seed: int = 0) -> dict[str, int]:
+        """Check a random sample of entries: how many were looked at, are stored more than once, or are in a wrong shard."""
+        entries = self.entries()
+        some = entries.orderBy(F.xxhash64("hash_hi", "hash_lo", F.lit(seed))).limit(samples or self.options.slot_scrubber_samples_per_tick)
+        copies = entries.join(some.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("n"))
+        wrong = some.where(F.col("shard_id") != generations.shard_of(F.col("hash_lo"), self.options.shard_count)).count()
+        return {"sampled": some.count(), "repeated": copies.where("n > 1").count(), "misplaced": wrong}
+
     # Writing.
 
     @staticmethod

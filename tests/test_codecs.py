@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from idledger.functions import ids
-from idledger.sources.journal import Sidecar, decode_lines, encode_lines, expired_from_bytes, expired_to_bytes, read_expired
+from idledger.sources.journal import Sidecar, decode_lines, encode_lines, expired_from_bytes, expired_to_bytes, read_expired, read_sidecars
 
 
 def test_sidecar_round_trip(tmp_path):
@@ -75,3 +75,18 @@ def test_generated_ids(spark):
     r = spark.createDataFrame([(1000,), (7,)], "i long").select(ids.generated_message_id(F.col("i")).alias("m"), ids.generated_server_id(F.col("i")).alias("s")).collect()
     assert r[0]["m"].startswith("<00000000000003e8.08b37c993af4b208@")
     assert r[1]["s"] == "00000007-0000-0000-127c-4a7fb979379e" == str(uuid.UUID(bytes_le=struct.pack("<QQ", 7, 7 ^ ids.GOLDEN)))
+
+
+def test_sidecar_table(spark, tmp_path):
+    good = Sidecar((1, (1 << 64) - 1), 128)
+    good.write(str(tmp_path / "a.idx"))
+    (tmp_path / "b.idx").write_bytes(good.to_bytes()[:-1] + b"x")
+    got = read_sidecars(spark, str(tmp_path)).select("word_idx", "word", "trusted").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, False), (0, 1, True), (1, -1, True)]
+
+
+def test_telemetry():
+    from idledger.sources import telemetry
+
+    assert telemetry.process().resident_bytes > 0 and telemetry.installed_memory() > 1 << 20
+    assert telemetry.bloom_budget(0.5, 7) == 7 and telemetry.bloom_budget(0.5) > 1 << 20

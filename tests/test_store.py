@@ -28,6 +28,7 @@ def test_add_then_lookup_then_reopen(spark, tmp_path):
     assert [again.contains(i) for i in (*ids, "new", "other")] == [True] * 5 + [False]
     assert [r["message_id"] for r in again.walk().collect()] == [*ids, "new"]
     assert again.snapshot().first()["used_slots"] == 5
+    assert again.scrub(3) == {"sampled": 3, "repeated": 0, "misplaced": 0}
     with pytest.raises(ValueError, match="^slots_per_shard"):
         HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(shard_count=4, slots_per_shard=1 << 10))
 
