@@ -51,6 +51,11 @@ SENTENCES = {
     "cc0.short": "Released under CC0 1.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "spdx.mit": "SPDX-License-Identifier: MIT",
+    "spdx.apache": "SPDX-License-Identifier: Apache-2.0",
+    "spdx.bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx.gpl2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx.gpl3": "SPDX-License-Identifier: GPL-3.0-only",
 }
 
 
@@ -95,6 +100,11 @@ RULES = _rules(
     "CC-BY-ND-4.0 restricted ccbynd4.short",
     "CC0-1.0 permissive cc0.short",
     "Unlicense permissive unlicense",
+    "MIT permissive spdx.mit",
+    "Apache-2.0 permissive spdx.apache",
+    "BSD-3-Clause permissive spdx.bsd3",
+    "GPL-2.0-only copyleft spdx.gpl2",
+    "GPL-3.0-only copyleft spdx.gpl3",
     "All-rights-reserved restricted reserved",
 )
 

@@ -202,6 +202,7 @@ def test_licence_rules(docs, rows, no_docs):
     assert [x[0] for x in s.scan(bsd + " " + SENTENCES["bsd.names"] + ".")] == ["BSD-3-Clause"]
     assert s.scan("we licensed under the MIT License things") == [] and s.scan(None) == [] and s.scan("Released under the MIT Licenses.") == []
     assert [x[0] for x in s.scan("no end\nLicensed under CC BY-NC 4.0.\nAll rights reserved.")] == ["CC-BY-NC-4.0", "All-rights-reserved"]
+    assert [x[0] for x in s.scan("# SPDX-License-Identifier: Apache-2.0\nimport os")] == ["Apache-2.0"]
     got = scan_licences(docs).collect()
     assert len(got) == len(rows) and not any(r["n_matches"] for r in got)
     assert scan_licences(no_docs).count() == 0
