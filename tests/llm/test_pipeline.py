@@ -1,7 +1,9 @@
 import corpus_pipeline as cp
+import pytest
+from compare import differs, duck
 
 from idledger.llm import mixing, quality_rules, simhash, toxicity
-from idledger.llm.queries import QUERIES
+from idledger.llm.queries import ORACLES, QUERIES
 
 
 def test_stages_follow_from_each_other(spark, sf_dir, tmp_path):
@@ -30,3 +32,8 @@ def test_stages_follow_from_each_other(spark, sf_dir, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(spark, sf_dir, name):
+    assert differs(spark, duck(sf_dir), QUERIES[name], ORACLES[name], sf_dir) == ""
