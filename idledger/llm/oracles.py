@@ -11,7 +11,7 @@ def quality_rules(rules: tuple[Rule, ...] = RULES, *, rounds: int = 40, toleranc
     n = len(rules)
     slots = f"range(1, {n + 1})"
     votes = ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 END" for r in rules)
-    trust = "[" + ", ".join(f"{r.trust}::DOUBLE" for r in rules) + "]"
+    on_good, on_bad = ("[" + ", ".join(f"{x}::DOUBLE" for x in xs) + "]" for xs in zip(*((r.on_good, r.on_bad) for r in rules), strict=True))
     words = "[" + ", ".join(f"'{c}'" for c in dict.fromkeys(COMMON)) + "]"
 
     def posterior(v: str) -> str:
@@ -21,9 +21,9 @@ def quality_rules(rules: tuple[Rule, ...] = RULES, *, rounds: int = 40, toleranc
     def total(of: str, when: str = "true") -> str:
         return f"list_sum(list_transform(z, lambda p: CASE WHEN {when} THEN {of} ELSE 0.0::DOUBLE END))"
 
-    def right(of: str, hit: int, miss: int) -> str:
+    def right(of: str, hit: int, miss: int, prior: str) -> str:
         a, b = (total(of, f"p.v[j] = {x}") for x in (hit, miss))
-        return f"list_transform({slots}, lambda j: ({a} + t[j] * {weight}) / ({a} + {b} + {weight}))"
+        return f"list_transform({slots}, lambda j: ({a} + {prior}[j] * {weight}) / ({a} + {b} + {weight}))"
 
     good, bad = "p.q", "(p.n - p.q)"
     return rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -37,11 +37,11 @@ s AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[
   FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 v AS (SELECT *, [{votes}] AS v FROM s),
 ps AS (SELECT list({{'v': v, 'n': n}}) AS ps FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
-em AS (SELECT 0 AS step, {share}::DOUBLE AS share, {trust} AS g, {trust} AS b, 1.0::DOUBLE AS moved
+em AS (SELECT 0 AS step, {share}::DOUBLE AS share, {on_good} AS g, {on_bad} AS b, 1.0::DOUBLE AS moved
   UNION ALL
   SELECT step + 1, s2, g2, b2, list_max([abs(s2 - share)] || list_transform({slots}, lambda j: greatest(abs(g2[j] - g[j]), abs(b2[j] - b[j])))) FROM (
-    SELECT *, ({total(good)} + {share * weight}) / ({total(good)} + {total(bad)} + {weight}) AS s2, {right(good, 1, 0)} AS g2, {right(bad, 0, 1)} AS b2 FROM (
-      SELECT em.*, {trust} AS t, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n, 'q': p.n * ({posterior("p.v")})}}) AS z FROM em, ps WHERE moved >= {tolerance} AND step < {rounds}))),
+    SELECT *, ({total(good)} + {share * weight}) / ({total(good)} + {total(bad)} + {weight}) AS s2, {right(good, 1, 0, "tg")} AS g2, {right(bad, 0, 1, "tb")} AS b2 FROM (
+      SELECT em.*, {on_good} AS tg, {on_bad} AS tb, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n, 'q': p.n * ({posterior("p.v")})}}) AS z FROM em, ps WHERE moved >= {tolerance} AND step < {rounds}))),
 m AS (SELECT * FROM em ORDER BY step DESC LIMIT 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(q, 6) AS quality, NOT base_failed AND q >= 0.5 AS kept FROM (
   SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior("v.v")} AS q FROM v, m)"""

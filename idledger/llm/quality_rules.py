@@ -87,28 +87,31 @@ def text_stats(docs: DataFrame) -> DataFrame:
 class Rule:
     """good and bad are conditions over text_stats; a rule abstains where neither holds.
 
-    trust is how often its votes are believed right before any document is seen. A rule without a
-    good side only reports a defect: it abstains on the documents that lack it.
+    on_good and on_bad are how often its votes are believed right, on good and on bad documents, before
+    any document is seen. A rule that looks for one defect votes good where the defect is missing: it is
+    nearly always right on good documents and seldom on bad ones, which mostly have other defects.
     """
 
     name: str
-    trust: float
     bad: str
-    good: str = "false"
+    good: str = "true"
+    on_good: float = 0.98
+    on_bad: float = 0.3
 
     def vote(self) -> Column:
         return F.when(F.expr(self.bad), F.lit(0)).when(F.expr(self.good), F.lit(1))
 
 
 RULES = (
-    Rule("length", 0.6, f"n_words < {MIN_WORDS}", "n_words >= 100"),
-    Rule("word_length", 0.6, "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("common_words", 0.7, "n_common <= 1", "n_common >= 6 or 20 * n_common >= n_words"),
-    Rule("symbols", 0.95, "10 * n_symbols > n_words"),
-    Rule("repeated_lines", 0.9, "10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeated_words", 0.95, "10 * n_repeat_words > 3 * n_words"),
-    Rule("capitals", 0.95, "10 * n_upper > 4 * word_chars"),
-    Rule("shouting", 0.95, "10 * n_shouts > n_words"),
+    Rule("length", f"n_words < {MIN_WORDS}", "n_words >= 100", 0.7, 0.5),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words", 0.8, 0.4),
+    Rule("common_words", "n_common <= 1", "n_common >= 6 or 20 * n_common >= n_words", 0.8, 0.5),
+    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("many_symbols", "5 * n_symbols > n_words"),
+    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_words", "10 * n_repeat_words > 3 * n_words"),
+    Rule("capitals", "10 * n_upper > 4 * word_chars"),
+    Rule("shouting", "10 * n_shouts > n_words"),
 )
 
 
@@ -131,12 +134,12 @@ class LabelModel:
 def fit(patterns: DataFrame, rules: tuple[Rule, ...], *, rounds: int = 40, tolerance: float = 1e-4, weight: float = 10.0, share: float = 0.8) -> LabelModel:
     """Expectation-maximisation over vote patterns (v0, v1, ..., rows).
 
-    It starts from each rule's trust, which stays in the estimates as a beta prior worth `weight` votes
-    in each class: that settles the direction, and the estimate of a rule that never votes. Without
-    rows the prior is the model.
+    It starts from each rule's on_good and on_bad, which stay in the estimates as beta priors worth
+    `weight` votes in each class: that settles the direction, and the estimate of a rule that never
+    votes. Without rows the prior is the model.
     """
-    trust = tuple(r.trust for r in rules)
-    model = LabelModel(share, trust, trust)
+    priors = tuple((r.on_good, r.on_bad) for r in rules)
+    model = LabelModel(share, tuple(g for g, _ in priors), tuple(b for _, b in priors))
     votes = [F.col(f"v{j}") for j in range(len(rules))]
     for _ in range(rounds):
         weighed = patterns.withColumn("good", model.posterior(votes) * F.col("rows"))
@@ -148,8 +151,8 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...], *, rounds: int = 40, toler
         right = lambda k, t: (got[k] + t * weight) / (got[k] + got[k + 1] + weight)
         new = LabelModel(
             right(0, share),
-            tuple(right(2 + 4 * j, t) for j, t in enumerate(trust)),
-            tuple(right(4 + 4 * j, t) for j, t in enumerate(trust)),
+            tuple(right(2 + 4 * j, g) for j, (g, _) in enumerate(priors)),
+            tuple(right(4 + 4 * j, b) for j, (_, b) in enumerate(priors)),
         )
         moved = max(abs(a - b) for a, b in zip((model.share, *model.on_good, *model.on_bad), (new.share, *new.on_good, *new.on_bad), strict=True))
         model = new

@@ -40,7 +40,7 @@ def test_symbols_and_shouting_go(spark, rows):
 
 
 def test_expectation_maximisation_equals_plain_python(spark):
-    rules = tuple(qr.Rule(f"r{j}", 0.8, "false") for j in range(3))
+    rules = tuple(qr.Rule(f"r{j}", "false", "false", 0.8, 0.8) for j in range(3))
     table = [((1, 1, None), 50), ((0, 1, 0), 9), ((0, None, 0), 20), ((1, 0, 1), 4), ((None, None, None), 3)]
     model = qr.fit(spark.createDataFrame([(*v, n) for v, n in table], "v0 int, v1 int, v2 int, rows long"), rules, rounds=12, tolerance=0)
     share, good, bad = 0.8, [0.8] * 3, [0.8] * 3
