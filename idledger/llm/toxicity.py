@@ -24,6 +24,8 @@ from .cluster import SetAside, materialised
 EXAMPLES = 20_000
 #: Terms kept at most, and the least evidence (twice the log likelihood ratio) and toxic examples for one.
 TERMS, EVIDENCE, SUPPORT = 4096, 20.0, 5
+#: The least share of toxic examples that hold a term, and how many times as common it is among them at least.
+SHARE, LIFT = 0.02, 2.0
 #: Terms of toxic examples whose evidence is counted at most: those of the most examples.
 CANDIDATES = 200_000
 NEIGHBOURS = 15
@@ -194,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
     """Learn from the labelled documents that are not held out; at most `examples` of them.
 
     A doc_id that is labelled twice counts as toxic if any label says so; one with several texts
-    stands for the greatest. Null ids and labels are passed over. Without usable labels every
+    stands for the greatest; a text that several ids have is one example, toxic if any label says so. Null ids and labels are passed over. Without usable labels every
     document gets the same low score.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
@@ -202,13 +204,15 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # chosen: at most `examples` rows
+    # Copies of a text are one example: else a copied text's own words look like signs of its label.
+    known = known.groupBy(F.xxhash64("text").alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     known = materialised(known)
 
     sizes = {bool(r["bad"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
         return ToxicityModel([], np.zeros(0), [(0, int(bad > 0), [], [])] * (bad + good), neighbours)
-    shared = _counted(known.where("toxic > 0")).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+    shared = _counted(known.where("toxic > 0")).where(F.col("n") >= max(SUPPORT, SHARE * bad)).orderBy(F.desc("n"), "term").limit(CANDIDATES)
     in_bad = {r["term"]: r["n"] for r in shared.collect()}
     in_good = {r["term"]: r["n"] for r in _counted(known.where("toxic <= 0"), frozenset(in_bad)).collect()}
     table = docs.sparkSession.createDataFrame([(t, n, in_good.get(t, 0)) for t, n in in_bad.items()], "term string, bad long, good long")
@@ -220,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
 
     evidence = part(F.col("bad"), df, F.lit(float(bad))) + part(F.col("good"), df, F.lit(float(good)))
     evidence += part(bad - F.col("bad"), total - df, F.lit(float(bad))) + part(good - F.col("good"), total - df, F.lit(float(good)))
-    best = table.withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
+    lifted = F.col("bad") * good >= LIFT * F.col("good") * bad
+    best = table.where(lifted).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
     terms = sorted(r["term"] for r in best)
     frequency = {r["term"]: r["bad"] + r["good"] for r in best}
     idf = np.array([math.log((bad + good + 1) / (frequency[t] + 1)) + 1 for t in terms])
