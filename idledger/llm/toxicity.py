@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
                 got = [(m.votes(*m.vector(t), place[d])[0], int(y > 0)) for d, t, y in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True) if d in place]
                 yield pd.DataFrame(got, columns=["votes", "toxic"])
 
-        tried = known.mapInPandas(others, "votes double, toxic int").orderBy("votes", "toxic").toPandas()
+        tried = known.mapInPandas(others, "votes double, toxic int").toPandas().sort_values(["votes", "toxic"])  # at most `examples` rows
         model.calibrate(tried["votes"].to_numpy(), tried["toxic"].to_numpy(float))
     return model
 
