@@ -6,6 +6,7 @@ products are taken modulo 2 ** 64 in decimals.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -69,23 +70,38 @@ def is_guid(text: Column) -> Column:
     return F.coalesce(F.btrim(text).rlike(GUID_PATTERN), F.lit(False))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _times(value: Column, factor: int) -> Column:
-    """value (signed long) times factor modulo 2 ** 64, as a signed long, by 32-bit halves."""
-    low, high = F.lit(factor & 0xFFFFFFFF), F.lit(factor >> 32)
-    a, b = value.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(value, 32)
-    bottom = a.cast("decimal(20,0)") * low.cast("decimal(20,0)")
-    cross = (a.cast("decimal(20,0)") * high.cast("decimal(20,0)") + b.cast("decimal(20,0)") * low.cast("decimal(20,0)")) % wide(1 << 32)
-    total = (bottom + cross * wide(1 << 32)) % wide(TWO64)
-    wrapped = F.when(total >= wide(TWO64 >> 1), total - wide(TWO64)).otherwise(total)
-    return wrapped.cast("long")
+    """value (signed long) times factor modulo 2 ** 64, as a signed long.
+
+    The halves of value meet 16-bit pieces of the factor, so that no product or sum leaves a long.
+    """
+    low32, low16 = F.lit(0xFFFFFFFF), F.lit(0xFFFF)
+    f = [F.lit(factor >> 16 * k & 0xFFFF).cast("long") for k in range(4)]
+    a, b = value.bitwiseAND(low32), F.shiftrightunsigned(value, 32)
+    second = a * f[1]
+    first = a * f[0] + F.shiftleft(second.bitwiseAND(low16), 16)
+    top = F.shiftrightunsigned(first, 32) + F.shiftrightunsigned(second, 16)
+    for x, lower, upper in ((a, f[2], f[3]), (b, f[0], f[1])):
+        top = top + (x * lower).bitwiseAND(low32) + F.shiftleft((x * upper).bitwiseAND(low16), 16)
+    return F.shiftleft(top.bitwiseAND(low32), 32).bitwiseOR(first.bitwiseAND(low32))
 
 
 def mix64(value: Column) -> Column:
     """The splitmix64 finaliser on a signed long."""
-    x = value
-    for shift, factor in zip((30, 27), MIX_FACTORS, strict=True):
-        x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), factor)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+
+    def folded(x: Column, shift: int) -> Column:
+        return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift)))
+
+    def product(x: Column, factor: int) -> Column:
+        return _let(x, lambda v: _times(v, factor))
+
+    x = product(folded(value, 30), MIX_FACTORS[0])
+    return folded(product(folded(x, 27), MIX_FACTORS[1]), 31)
 
 
 def bloom_bits(hi: Column, lo: Column, bits: int, hashes: int = BLOOM_HASHES) -> Column:
@@ -93,7 +109,7 @@ def bloom_bits(hi: Column, lo: Column, bits: int, hashes: int = BLOOM_HASHES) ->
     mask = F.lit(bits - 1).cast("long")
     h1 = mix64(lo).bitwiseAND(mask)
     h2 = mix64(hi.bitwiseXOR(F.lit(signed(GOLDEN)))).bitwiseOR(F.lit(1).cast("long")).bitwiseAND(mask)
-    return F.get(F.transform(F.array(F.struct(h1.alias("a"), h2.alias("b"))), lambda s: F.array(*((s["a"] + s["b"] * F.lit(i).cast("long")).bitwiseAND(mask) for i in range(hashes)))), F.lit(0))
+    return _let(F.struct(h1.alias("a"), h2.alias("b")), lambda s: F.array(*((s["a"] + s["b"] * F.lit(i).cast("long")).bitwiseAND(mask) for i in range(hashes))))
 
 
 def _hex16(value: Column) -> Column:
