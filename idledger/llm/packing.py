@@ -19,6 +19,8 @@ from .cluster import materialised
 from .tokens import encoder
 
 END_ID = 2
+#: Texts encoded together; a word that they share is looked up once.
+TEXTS = 4000
 LENGTH = 4096
 #: Tokens that one group holds on average; a group is packed by one task in memory.
 GROUP_TOKENS = 1 << 21
@@ -72,8 +74,8 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(vocabulary)
         for batch in batches:
-            for low in range(0, len(batch), 1000):
-                part, rows = batch.iloc[low : low + 1000], []
+            for low in range(0, len(batch), TEXTS):
+                part, rows = batch.iloc[low : low + TEXTS], []
                 for doc, ids in zip(part["doc_id"], coder.encode(part["text"].tolist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), length):

@@ -25,6 +25,8 @@ from .cluster import shared_path
 from .tokens import encoder
 
 END_ID = 1
+#: Texts encoded together; a word that they share is looked up once.
+TEXTS = 4000
 BLOCK = 4096
 MAGIC = b"IDLTOK1\0"
 #: Bytes of text that go to one file on average.
@@ -119,8 +121,8 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None =
         coder, bits, doc_ids, sizes, got, part = encoder(vocabulary), 0, [], [], [], None
         bits = width(max(coder.size, end_id + 1))
         for batch in batches:
-            for low in range(0, len(batch), 1000):
-                rows = batch.iloc[low : low + 1000]
+            for low in range(0, len(batch), TEXTS):
+                rows = batch.iloc[low : low + TEXTS]
                 part = int(rows["part"].iloc[0])
                 doc_ids.append(rows["doc_id"].astype("Int64").fillna(NO_DOC).to_numpy(np.int64))
                 for ids in coder.encode(rows["text"].tolist()):

@@ -36,7 +36,7 @@ class WordEncoder:
     that name a special token, and vocabularies of another shape, are encoded as a whole.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -71,7 +71,8 @@ class WordEncoder:
         if got is None:
             if len(self.cores) >= self.remembered:
                 self.cores.clear()
-            got = array("I", [t.id for t in self.model.tokenize(core.translate(self.letters))]).tobytes()
+            shown = core if core.isascii() else core.translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             self.cores[core] = got
         return got
 
@@ -111,10 +112,13 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(lines)
         coded = split.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        known = self.words
-        found = [known.get(w) or self._word(w) for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, words))
+        for i, got in enumerate(found):
+            if got is None:
+                found[i] = self._word(words[i])
         ids = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begins = np.cumsum(sizes) - sizes
         each = sizes[index]
         ends = np.concatenate(([0], np.cumsum(each)))
@@ -123,7 +127,7 @@ class WordEncoder:
         return [np.frombuffer(self._whole(t), np.uint32) if i in whole else flat[cuts[i] : cuts[i + 1]] for i, t in enumerate(texts)]
 
 
-def encoder(path: str | None = None, remembered: int = 300_000) -> WordEncoder:
+def encoder(path: str | None = None, remembered: int = 500_000) -> WordEncoder:
     """The worker's encoder for this vocabulary; it outlives tasks."""
     key = (path or default_vocabulary(), remembered)
     if key not in _ENCODERS:
