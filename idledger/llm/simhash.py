@@ -176,7 +176,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a kept doc_id leave one row, the one with the least text hash. Rows without a
     doc_id stay.
     """
-    marked = materialised(near_duplicates(docs, **options))
+    return keep_least(docs, materialised(near_duplicates(docs, **options)))
+
+
+def keep_least(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The documents whose doc_id is their component_id in `marked`, one row each, and those without a doc_id."""
     keep = marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     own = SetAside(docs)
     named = own.rows.withColumn("doc_id", own.column("doc_id").cast("long"))
