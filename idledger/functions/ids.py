@@ -28,19 +28,26 @@ def signed(value: int) -> int:
     return value - TWO64 if value >= TWO64 >> 1 else value
 
 
-def _reversed_hex(digest: Column, first: int) -> Column:
-    """Eight bytes of a hex digest from digit `first`, last byte first."""
-    return F.concat(*(F.substring(digest, first + k, 2) for k in range(14, -2, -2)))
+def md5_hex(text: Column) -> Column:
+    return F.md5(text.cast("string").cast("binary"))
 
 
-def hash_halves(text: Column) -> tuple[Column, Column]:
-    """(hash_hi, hash_lo): the little-endian halves of the MD5 of the UTF-8 text, as signed longs.
+def _little_endian(digits: Column) -> Column:
+    """16 hex digits, least byte first, as a signed long: read backwards, then each byte's halves change places."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    back = F.conv(F.reverse(digits), 16, -10).cast("long")
+    return F.shiftleft(back.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(back, 4).bitwiseAND(low))
 
-    Both zero become (0, 1); a null text gives nulls.
-    """
-    digest = F.md5(text.cast("string").cast("binary"))
-    hi, lo = (F.conv(_reversed_hex(digest, k), 16, -10).cast("long") for k in (1, 17))
-    return hi, F.when((hi == 0) & (lo == 0), F.lit(1).cast("long")).otherwise(lo)
+
+def halves_of(digest: Column) -> tuple[Column, Column]:
+    """(hash_hi, hash_lo) of an MD5 in hex: its little-endian halves as signed longs. Both zero become (0, 1)."""
+    hi, lo = (_little_endian(F.substring(digest, k, 16)) for k in (1, 17))
+    return hi, F.when(digest == "0" * 32, F.lit(1).cast("long")).otherwise(lo)
+
+
+def hash_halves(text: Column) -> tuple[Column, Column]:
+    """halves_of the MD5 of the UTF-8 text; a null text gives nulls."""
+    return halves_of(md5_hex(text))
 
 
 def unsigned(value: Column) -> Column:

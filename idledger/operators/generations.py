@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,27 +56,30 @@ def generations_of(inserted: DataFrame, *, shards: int, threshold: int) -> DataF
     """(batch, generation) for every batch from 0 to the last one with an insert.
 
     inserted has a row per insert with batch and shard_id. After a batch that takes any shard of the
-    active generation to the threshold, the next batch opens a new generation. The fold runs over the
-    batches' shard counts only: metadata of one number per batch and shard.
+    active generation to the threshold, the next batch opens a new generation. Each generation depends
+    on the one before, so this is a fold: over metadata of one number per batch and shard, sorted by
+    batch, in one pass that holds the active generation's shards alone.
     """
     per = inserted.groupBy("batch", "shard_id").agg(F.count("*").alias("n"))
-    sized = per.groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("shard_id", "n"))).alias("counts"))
-    listed = sized.agg(F.map_from_entries(F.collect_list(F.struct("batch", "counts"))).alias("by_batch"), F.max("batch").alias("last"))
-    none = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda _: F.lit(0).cast("long"))
-    start = F.struct(F.lit(1).alias("generation"), none.alias("used"), F.array().cast("array<struct<batch: bigint, generation: int>>").alias("out"))
-
-    def after(state: Column, batch: Column) -> Column:
-        counts = F.try_element_at(F.col("by_batch"), batch)
-        used = F.transform(state["used"], lambda u, i: u + F.coalesce(F.try_element_at(counts, i.cast("int")), F.lit(0).cast("long")))
-        full = (F.lit(threshold) > 0) & (F.array_max(used) >= threshold)
-        return F.struct(
-            (state["generation"] + F.when(full, 1).otherwise(0)).alias("generation"),
-            F.when(full, none).otherwise(used).alias("used"),
-            F.concat(state["out"], F.array(F.struct(batch.cast("bigint").alias("batch"), state["generation"].alias("generation")))).alias("out"),
-        )
-
-    folded = listed.where("last is not null").select(F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint")), start, after, lambda s: s["out"]).alias("out"))
-    return folded.select(F.inline("out"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, generation, batch, full = np.zeros(shards, np.int64), 1, 0, False
+        for frame in frames:
+            out = []
+            for at, shard, n in zip(frame["batch"].tolist(), frame["shard_id"].tolist(), frame["n"].tolist(), strict=True):
+                while batch < at:
+                    out.append((batch, generation))
+                    if full:
+                        used[:], generation, full = 0, generation + 1, False
+                    batch += 1
+                used[shard] += n
+                full = full or bool(0 < threshold <= used[shard])
+            yield pd.DataFrame(out, columns=["batch", "generation"])
+        if used.any() or batch:
+            yield pd.DataFrame({"batch": [batch], "generation": [generation]})
+
+    sized = per.select(F.col("batch").cast("long"), F.col("shard_id").cast("int"), "n").repartition(1).sortWithinPartitions("batch")
+    return sized.mapInPandas(fold, "batch long, generation int")
 
 
 def retained(entries: DataFrame, generations: int, column: str = "generation") -> DataFrame:

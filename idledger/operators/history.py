@@ -9,16 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import hash_halves
+from ..functions.ids import halves_of, md5_hex
 
 KEY = ["hash_hi", "hash_lo"]
 INSERTED, DUPLICATE = "inserted", "duplicate"
 
 
 def keyed(rows: DataFrame, text: Column | str) -> DataFrame:
-    """rows with hash_hi and hash_lo of a text column."""
-    hi, lo = hash_halves(F.col(text) if isinstance(text, str) else text)
-    return rows.withColumns({"hash_hi": hi, "hash_lo": lo})
+    """rows with hash_hi and hash_lo of a text column; a null text has the key (0, 0), which no text has.
+
+    So keys are never null, and joins on them need no null check, which would hash every row once more.
+    """
+    taken, digest = {c.lower() for c in rows.columns}, "digest"
+    while digest in taken:
+        digest += "_"
+    hi, lo = halves_of(F.col(digest))  # the digest is a step of its own, so that it is computed once
+    none = F.lit(0).cast("long")
+    hashed = rows.withColumn(digest, md5_hex(F.col(text) if isinstance(text, str) else text))
+    return hashed.withColumns({"hash_hi": F.coalesce(hi, none), "hash_lo": F.coalesce(lo, none)}).drop(digest)
 
 
 def keep_first(rows: DataFrame, order: str = "seq") -> DataFrame:
@@ -36,7 +44,7 @@ def add_status(rows: DataFrame, stored: DataFrame | None = None, order: str = "s
     """rows with status: inserted for the first row of a key that is not stored, else duplicate. `order` is unique."""
     firsts = first_seq(rows, order)
     if stored is not None:
-        firsts = firsts.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+        firsts = firsts.join(stored.select(*KEY), KEY, "left_anti")
     marked = rows.join(firsts, KEY, "left")
     is_first = F.coalesce(F.col(order) == F.col("first_seq"), F.lit(False))
     return marked.withColumn("status", F.when(is_first, INSERTED).otherwise(DUPLICATE)).drop("first_seq")
@@ -48,8 +56,12 @@ def new_only(rows: DataFrame, stored: DataFrame, order: str = "seq") -> DataFram
 
 
 def lookup(probes: DataFrame, stored: DataFrame, expired: DataFrame | None = None) -> DataFrame:
-    """probes with found: the key is stored and not expired."""
-    present = stored.select(*KEY).distinct()
+    """probes with found: the key is stored and not expired.
+
+    The store is first reduced to the probed keys, by the planner's choice of join: a batch that fits the
+    size check for broadcasts is sent to the store's files, and no stored key is shuffled.
+    """
+    present = stored.select(*KEY).join(probes.select(*KEY), KEY, "left_semi").distinct()
     if expired is not None:
         present = present.join(expired.select(*KEY), KEY, "left_anti")
     return probes.join(present.withColumn("found", F.lit(True)), KEY, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialised
 from .history import KEY
 
 
 def with_positions(rows: DataFrame, order: str = "seq", start: int = 0) -> DataFrame:
-    """rows with pos: 0, 1, 2, ... in `order`.
+    """rows with pos: 0, 1, 2, ... in `order`, which is unique.
 
-    Rows are sorted in ranges; each range counts its rows, and only those counts (one per partition)
-    are summed in one place.
+    Rows are sorted in ranges and written to the shared folder with their range and their place in it, so
+    that the counts of the ranges and the positions come from one and the same layout, whatever adaptive
+    execution did to it. Only the counts, one per range, are summed in one place.
     """
-    placed = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    placed = materialised(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("place", place))
+    part = F.shiftrightunsigned("place", 33).alias("part")
+    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    ranked = placed.withColumn("within", within).join(F.broadcast(base), "part")  # one row per partition
-    return ranked.withColumn("pos", (F.col("base") + F.col("within") + F.lit(start)).cast("long")).drop("part", "within", "base")
+    ranked = placed.withColumn("part", part).join(F.broadcast(base), "part")  # one row per partition
+    within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.withColumn("pos", (F.col("base") + within + F.lit(start)).cast("long")).select(*rows.columns, "pos")
 
 
 def evicted_count(total: int, most: int) -> int:

@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores at least: a table of few files would be hashed by few of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def epoch_us(column: str):
     """Microseconds since 1970 of a wall-clock time, whatever the session's zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
@@ -19,7 +25,7 @@ def epoch_us(column: str):
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, message_id, event_type, user_id, value, ts_us and the key."""
-    rows = read(spark, sf_dir, "events").select(
+    rows = dealt(read(spark, sf_dir, "events")).select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("<"), F.col("user_id").cast("string"), F.lit("."), F.col("event_type"), F.lit("@events>")).alias("message_id"),
         "event_type", "user_id", "value", epoch_us("ts").alias("ts_us"),
@@ -28,16 +34,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text"), "text").drop("text")
+    return keyed(dealt(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("seq"), "text"), "text").drop("text")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("<"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit("@li>")).alias("message_id"))
+    rows = dealt(read(spark, sf_dir, "lineitem")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("<"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit("@li>")).alias("message_id"))
     return keyed(rows, "message_id")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit(".1@li>")).alias("message_id"))
+    rows = dealt(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit(".1@li>")).alias("message_id"))
     return keyed(rows, "message_id")
 
 

@@ -214,21 +214,21 @@ def generation_assignment(spark, d):
 @query(f"{GENERATIONS} SELECT i.seq, g.generation FROM i JOIN g ON i.batch = g.batch WHERE g.generation > (SELECT max(generation) FROM g) - {GEN_KEPT}")
 def retention_visible(spark, d):
     rows = _batched(spark, d)
-    entries = rows.join(F.broadcast(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD)), "batch")  # one row per batch
+    entries = rows.join(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD), "batch")
     return generations.retained(entries, GEN_KEPT).select("seq", "generation")
 
 
 @query(f"{GENERATIONS} SELECT g.generation, count(*) AS entries, (SELECT max(generation) FROM g) - g.generation AS age FROM i JOIN g ON i.batch = g.batch GROUP BY 1")
 def generations_newest_first(spark, d):
     rows = _batched(spark, d)
-    entries = rows.join(F.broadcast(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD)), "batch")  # one row per batch
+    entries = rows.join(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD), "batch")
     return generations.listing(entries)
 
 
 @query(f"{GENERATIONS} SELECT i.seq FROM i JOIN g ON i.batch = g.batch WHERE g.generation <= 2")
 def generations_up_to(spark, d):
     rows = _batched(spark, d)
-    entries = rows.join(F.broadcast(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD)), "batch")  # one row per batch
+    entries = rows.join(generations.generations_of(rows, shards=GEN_SHARDS, threshold=GEN_THRESHOLD), "batch")
     return generations.up_to(entries, 2).select("seq")
 
 
