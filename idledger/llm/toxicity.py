@@ -1,9 +1,10 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-The vocabulary holds the words and word beginnings that tell the labels apart best. A bounded number
-of labelled documents becomes a block-max inverted index, which goes to every task. A document's
-neighbours vote with weights that fall with distance; a logistic curve, fitted on the votes that each
-labelled example gets from the others, turns votes into probabilities.
+Every word of a bounded number of labelled documents is a term. A block-max inverted index of them goes
+to every task, and each text is searched in it: its neighbours vote with weights that fall with distance.
+A logistic curve, fitted on the votes that each labelled example gets from the others, turns votes into
+probabilities. The inverse document frequency is scaled by how well a term tells the labels apart,
+from LEAST for words that do not to one; no term is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,124 +24,169 @@ from .cluster import SetAside, materialised
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
-#: Terms kept at most, and the least evidence (twice the log likelihood ratio) and toxic examples for one.
-TERMS, EVIDENCE, SUPPORT = 4096, 20.0, 5
-#: The least share of toxic examples that hold a term, and how many times as common it is among them at least.
-SHARE, LIFT = 0.02, 2.0
-#: Terms of toxic examples whose evidence is counted at most: those of the most examples.
-CANDIDATES = 200_000
+#: The scale of a term whose evidence (twice the log likelihood ratio) is zero, and the evidence that brings it half way to one.
+LEAST, HALF_WAY = 0.03, 25.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms in one of so many documents have tiles instead of lists. Blocks that a search completes first, and queries that it runs together.
+SHARED, FIRST_BLOCKS, TOGETHER = 16, 16, 256
+#: More than single precision can err by in a cosine.
+MARGIN = np.float32(1e-4)
 _WORD = re.compile(r"\w+")
-_HEADS = range(4, 8)
-_TIMES = (2, 4)
 
 
-def terms_of(text: str | None, heads: frozenset[str] | None = None) -> Counter:
-    """How often each term occurs: words in lower case, "^" and the first 4 to 7 letters of longer ones.
-
-    A term that occurs at least 2 or 4 times also gives the term "2*term" or "4*term", once. With
-    `heads`, words that begin otherwise are left out.
-    """
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a text in lower case, as ascending 64-bit hashes, and how often each occurs."""
     words = Counter(_WORD.findall((text or "").lower()))
-    if heads is not None:
-        words = {w: words[w] for w in words if w[:4] in heads}
-    out = dict(words)
-    for k in _HEADS:
-        for w, n in words.items():
-            if len(w) > k:
-                head = "^" + w[:k]
-                out[head] = out.get(head, 0) + n
-    often = {f"{k}*{t}": 1 for k in _TIMES for t, n in out.items() if n >= k}
-    return Counter(out | often) if often else Counter(out)
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(words.values(), np.int64, len(words))[order]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """starts[0] ... ends[0] - 1, starts[1] ... in a row."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class BlockMaxIndex:
-    """An inverted index in blocks of documents, with every term's greatest weight in each block.
+    """An inverted index over documents in blocks, with every term's greatest weight in each block.
 
-    search() is exact. The sum of query weight times block maximum bounds every document of a block;
-    blocks whose bound is below the k-th best score found are not looked at.
+    search() is exact. Terms in few documents have lists of postings, which are added up first. Terms in
+    many have their weights in one tile per block: what they can add to a document is at most the sum of
+    their maxima in its block. Blocks that cannot reach a query's k-th best sum so far are not completed;
+    its most promising ones are completed first, which raises that sum. Sums are in single precision up
+    to here; documents within MARGIN of the k-th best are scored anew in double precision.
     """
 
-    def __init__(self, keys: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        """vectors: (ascending term numbers, weights) per key. Documents with like terms share blocks."""
-        order = sorted(range(len(keys)), key=lambda i: (vectors[i][0].tolist(), keys[i]))
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = BLOCK):
+        """The documents' numbers of terms, one after the other, and their weights; `sizes` terms each. Documents with the
+        same weightiest term share blocks."""
+        starts = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(keys)), sizes)
+        last = np.lexsort((weight, of))[np.cumsum(sizes) - 1] if len(term) else np.zeros(0, np.int64)
+        chief = np.where(sizes > 0, term[last], -1) if len(term) else np.full(len(keys), -1)
+        order = np.lexsort((keys, chief))
+        post = _ranges(starts[order], (starts + sizes)[order])
         self.keys, self.block, self.terms = keys[order], block, terms
-        doc = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by_block = np.lexsort((doc, term, doc // block))
-        self.doc, self.term, self.weight = doc[by_block], term[by_block], weight[by_block]
         self.blocks = -(-len(order) // block)
-        self.starts = np.searchsorted(self.doc // block, np.arange(self.blocks + 1))
-        pair = self.term * max(1, self.blocks) + self.doc // block
-        by_term = np.argsort(pair, kind="stable")
-        pairs, first = np.unique(pair[by_term], return_index=True)
-        self.max_weight = np.maximum.reduceat(self.weight[by_term], first) if len(first) else np.zeros(0)
-        self.max_block = pairs % max(1, self.blocks)
-        self.term_starts = np.searchsorted(pairs // max(1, self.blocks), np.arange(terms + 1))
-
-    def _scores(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        docs, scores = [], []
-        for b in blocks.tolist():
-            a, e = self.starts[b], self.starts[b + 1]
-            got = np.bincount(self.doc[a:e] - b * self.block, query[self.term[a:e]] * self.weight[a:e])
-            hit = np.flatnonzero(got > 0)
-            docs.append(hit + b * self.block)
-            scores.append(got[hit])
-        return (np.concatenate(docs), np.concatenate(scores)) if docs else (np.zeros(0, np.int64), np.zeros(0))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best, best first, ties (to 12 digits) by key; documents that share no term are not found."""
-        bound, query = np.zeros(self.blocks), np.zeros(self.terms)
-        query[terms] = weights
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            a, e = self.term_starts[t], self.term_starts[t + 1]
-            bound[self.max_block[a:e]] += w * self.max_weight[a:e]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        docs, scores, done, take = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while done < len(order):
-            best = np.sort(scores)[-k] if len(scores) >= k else 0.0
-            more = order[done : done + take]
-            more = more[bound[more] >= best - 1e-9]
-            if not len(more):
-                break
-            found = self._scores(more, query)
-            fresh = found[0] != (-1 if without is None else without)
-            docs, scores = np.concatenate([docs, found[0][fresh]]), np.concatenate([scores, found[1][fresh]])
-            done, take = done + take, take * 2
+        self.doc_starts = np.concatenate([[0], np.cumsum(sizes[order])])
+        self.term, self.weight = term[post].astype(np.int32), weight[post]
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
+        df = np.bincount(self.term, minlength=terms)
+        common = np.flatnonzero(df * SHARED >= max(1, len(order)))
+        self.tile_row = np.full(terms, -1, np.int32)
+        self.tile_row[common] = np.arange(len(common))
+        tiled = self.tile_row[self.term] >= 0
+        self.tiles = np.zeros((self.blocks, len(common), block), np.float32)
+        self.tiles[doc[tiled] // block, self.tile_row[self.term[tiled]], doc[tiled] % block] = self.weight[tiled]
+        self.most = np.ascontiguousarray(self.tiles.max(axis=2, initial=0.0).T)
+        listed = np.flatnonzero(~tiled)
+        listed = listed[np.argsort(self.term[listed], kind="stable")]
+        self.list_doc, self.list_weight = doc[listed], self.weight[listed].astype(np.float32)
+        self.starts = np.searchsorted(self.term[listed], np.arange(terms + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the positions and scores of the k best, best first, ties (to 12 digits) by key;
+        documents that share no term are not found, nor is the one at `without`."""
+        out = []
+        for low in range(0, len(queries), TOGETHER):
+            out += self._search(queries[low : low + TOGETHER], k, without[low : low + TOGETHER] if without else None)
+        return out
+
+    def _search(self, queries, k, without) -> list[tuple[np.ndarray, np.ndarray]]:
+        width = self.blocks * self.block
+        if not width:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        sums = np.empty((len(queries), width), np.float32)
+        asked = np.zeros((len(queries), self.tiles.shape[1]), np.float32)
+        for i, (at, weight) in enumerate(queries):
+            row = self.tile_row[at]
+            asked[i, row[row >= 0]] = weight[row >= 0]
+            rare, own = at[row < 0], weight[row < 0].astype(np.float32)
+            a, e = self.starts[rare], self.starts[rare + 1]
+            post = _ranges(a, e)
+            sums[i] = np.bincount(self.list_doc[post], self.list_weight[post] * np.repeat(own, e - a), width)
+        for i, x in enumerate(without or []):
+            if x is not None:
+                sums[i, x] = -np.inf
+        view = sums.reshape(len(queries), self.blocks, self.block)
+
+        def least() -> np.ndarray:
+            """What the k-th best sums reach at least: the k-th best of the blocks' best."""
+            best = view.max(axis=2)
+            return np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k, None] - MARGIN if self.blocks >= k else np.full((len(queries), 1), -np.inf, np.float32)
+
+        bound = view.max(axis=2) + asked @ self.most
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        self._complete(view, asked, done)
+        rest = (bound >= least()) & ~done
+        self._complete(view, asked, rest)
+        done |= rest
+        near = (view >= np.maximum(least(), 1e-30)[:, :, None]) & done[:, :, None]
+        scratch, out = np.zeros(self.terms), []
+        for i, (at, weight) in enumerate(queries):
+            docs = np.flatnonzero(near[i].ravel())
+            if len(docs) > k:
+                docs = docs[sums[i, docs] >= np.partition(sums[i, docs], -k)[-k] - MARGIN]
+            scratch[at] = weight
+            out.append(self._exact(scratch, docs, k))
+            scratch[at] = 0.0
+        return out
+
+    def _complete(self, view: np.ndarray, asked: np.ndarray, which: np.ndarray) -> None:
+        for b in np.flatnonzero(which.any(axis=0)).tolist():
+            some = np.flatnonzero(which[:, b])
+            view[some, b] += asked[some] @ self.tiles[b]
+
+    def _exact(self, query: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        a, e = self.doc_starts[docs], self.doc_starts[docs + 1]
+        post = _ranges(a, e)
+        scores = np.bincount(np.repeat(np.arange(len(docs)), e - a), query[self.term[post]] * self.weight[post], len(docs))
         top = np.lexsort((self.keys[docs], -np.round(scores, 12)))[:k]
         return docs[top], scores[top]
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[float]]], neighbours: int = NEIGHBOURS):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.terms, self.idf, self.neighbours = terms, idf, neighbours
-        self.heads = heads_of(terms)
-        known = [x for x in examples if x[2]]
-        self.index = BlockMaxIndex(np.array([x[0] for x in known], np.int64), [(np.array(x[2], np.int64), np.array(x[3])) for x in known], len(terms))
-        label = {x[0]: x[1] for x in known}
-        self.label = np.array([label[k] for k in self.index.keys.tolist()], float)
-        self.share = (self.label.sum() + 1) / (len(self.label) + 2)
-        blank = [x[1] for x in examples if not x[2]]
-        self.blank_score = (sum(blank) + 0.5) / (len(blank) + 5)
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, neighbours: int = NEIGHBOURS):
+        """Examples: doc_ids, whether toxic (1 or 0), how many terms each has, and all of these in a row, as terms_of gives them."""
+        self.neighbours = neighbours
+        self.terms, number, df = np.unique(terms, return_inverse=True, return_counts=True)
+        label, bads = toxic.astype(float), float(toxic.sum())
+        in_bad = np.bincount(number, np.repeat(label, sizes), len(self.terms))
+        self.idf = np.log((len(ids) + 1) / np.maximum(df, 1)) * scale_of(in_bad, df - in_bad, bads, len(ids) - bads)
+        weight = (1 + np.log(counts)) * self.idf[number]
+        norm = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), sizes), weight * weight, len(ids)))
+        weight /= np.repeat(norm, sizes)
+        known = sizes > 0
+        self.index = BlockMaxIndex(ids[known], sizes[known], number, weight, len(self.terms))
+        by_key = dict(zip(ids.tolist(), label.tolist(), strict=True))
+        self.label = np.array([by_key[k] for k in self.index.keys.tolist()], float)
+        self.share = (bads + 1) / (len(ids) + 2)
+        self.blank_score = (float(label[~known].sum()) + 0.5) / (int((~known).sum()) + 5)
         self.curve = (1.0, 0.0)
 
+    def _unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts)) * self.idf[at]
+        return at, weight / math.sqrt(float((weight * weight).sum())) if len(at) else weight
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.number[t], n) for t, n in terms_of(text, self.heads).items() if t in self.number)
-        if not found:
+        """The numbers of a text's known terms, ascending, and their TF-IDF weights, of length one."""
+        keys, counts = terms_of(text)
+        if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([f[0] for f in found], np.int64)
-        weight = (1 + np.log(np.array([f[1] for f in found], float))) * self.idf[at]
-        return at, weight / math.sqrt(float((weight * weight).sum()))
+        at = np.minimum(np.searchsorted(self.terms, keys), len(self.terms) - 1)
+        known = self.terms[at] == keys
+        return self._unit(at[known], counts[known])
 
-    def votes(self, at: np.ndarray, weight: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """The weighted share of toxic neighbours, shrunk to the examples' share, with the neighbours and cosines."""
-        docs, cosine = self.index.search(at, weight, self.neighbours, without)
-        near = 1 / (0.05 + np.maximum(0.0, 1 - cosine))
-        return float(((near * self.label[docs]).sum() + self.share) / (near.sum() + 1)), docs, cosine
+        out = []
+        for docs, cosine in self.index.search(vectors, self.neighbours, without):
+            near = 1 / (0.05 + np.maximum(0.0, 1 - cosine))
+            out.append((float(((near * self.label[docs]).sum() + self.share) / (near.sum() + 1)), docs, cosine))
+        return out
 
     def score(self, votes: float) -> float:
         slope, shift = self.curve
@@ -159,85 +206,65 @@ class ToxicityModel:
                 break
         self.curve = (a, b) if a > 0 and math.isfinite(a) and math.isfinite(b) else (1.0, 0.0)
 
-    def judge(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        at, weight = self.vector(text)
-        if not len(at):
-            return self.blank_score, [], []
-        votes, docs, cosine = self.votes(at, weight)
-        return self.score(votes), self.index.keys[docs].tolist(), cosine.tolist()
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        vectors = [self.vector(t) for t in texts]
+        out: list = [(self.blank_score, [], [])] * len(texts)
+        known = [i for i, v in enumerate(vectors) if len(v[0])]
+        for i, (votes, docs, cosine) in zip(known, self.votes([vectors[i] for i in known]), strict=True):
+            out[i] = (self.score(votes), self.index.keys[docs].tolist(), cosine.tolist())
+        return out
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def heads_of(terms) -> frozenset[str]:
-    """The first four letters of every word that can give one of the terms."""
-    return frozenset(re.sub(r"\A(?:\d\*)?\^?", "", t)[:4] for t in terms)
+def scale_of(bad: np.ndarray, good: np.ndarray, bads: float, goods: float) -> np.ndarray:
+    """For terms in so many toxic and other examples, of `bads` and `goods`: a factor that rises from LEAST to one with
+    the evidence that a term and the label go together, in either direction."""
+    total = bads + goods
 
+    def part(seen: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
+        return 2 * seen * np.log(np.where(seen > 0, seen * total / np.maximum(row * column, 1e-300), 1.0))
 
-def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(term, n): in how many texts each term occurs, of those in `only` if given."""
-    heads = heads_of(only) if only is not None else None
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                found = terms_of(text, heads).keys()
-                seen.update(found if only is None else found & only)
-        if seen:
-            yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())})
-
-    return rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = bad + good
+    evidence = part(bad, df, bads) + part(good, df, goods) + part(bads - bad, total - df, bads) + part(goods - good, total - df, goods)
+    squared = np.maximum(0.0, evidence) ** 2
+    return LEAST + (1 - LEAST) * squared / (squared + HALF_WAY**2)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """Learn from the labelled documents that are not held out; at most `examples` of them.
+    """Learn from the labelled documents that are not held out; at most `examples` of them, from their whole texts.
 
-    A doc_id that is labelled twice counts as toxic if any label says so; one with several texts
-    stands for the greatest; a text that several ids have is one example, toxic if any label says so. Null ids and labels are passed over. Without usable labels every
-    document gets the same low score.
+    A doc_id that is labelled twice counts as toxic if any label says so; one with several texts stands
+    for the greatest; a text that several ids have is one example, toxic if any label says so. Null ids
+    and labels are passed over. Without usable labels every document gets the same low score.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # chosen: at most `examples` rows
-    # Copies of a text are one example: else a copied text's own words look like signs of its label.
-    known = known.groupBy(F.xxhash64("text").alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     known = materialised(known)
 
-    sizes = {bool(r["bad"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(True, 0), sizes.get(False, 0)
-    if not bad or not good:
-        return ToxicityModel([], np.zeros(0), [(0, int(bad > 0), [], [])] * (bad + good), neighbours)
-    shared = _counted(known.where("toxic > 0")).where(F.col("n") >= max(SUPPORT, SHARE * bad)).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    in_bad = {r["term"]: r["n"] for r in shared.collect()}
-    in_good = {r["term"]: r["n"] for r in _counted(known.where("toxic <= 0"), frozenset(in_bad)).collect()}
-    table = docs.sparkSession.createDataFrame([(t, n, in_good.get(t, 0)) for t, n in in_bad.items()], "term string, bad long, good long")
-    total = F.lit(float(bad + good))
-    df = F.col("bad") + F.col("good")
-
-    def part(seen, row, column):
-        return F.when(seen > 0, 2 * seen * F.log(seen * total / (row * column))).otherwise(0.0)
-
-    evidence = part(F.col("bad"), df, F.lit(float(bad))) + part(F.col("good"), df, F.lit(float(good)))
-    evidence += part(bad - F.col("bad"), total - df, F.lit(float(bad))) + part(good - F.col("good"), total - df, F.lit(float(good)))
-    lifted = F.col("bad") * good >= LIFT * F.col("good") * bad
-    best = table.where(lifted).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
-    terms = sorted(r["term"] for r in best)
-    frequency = {r["term"]: r["bad"] + r["good"] for r in best}
-    idf = np.array([math.log((bad + good + 1) / (frequency[t] + 1)) + 1 for t in terms])
-    blank = ToxicityModel(terms, idf, [], neighbours)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [blank.vector(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [g[0].tolist() for g in got], "weight": [g[1].tolist() for g in got]})
+            got = [terms_of(t) for t in batch["text"]]
+            names = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "name": names, "terms": [g[0].tobytes() for g in got], "counts": [g[1].astype(np.uint32).tobytes() for g in got]})
 
-    rows = known.mapInPandas(vectors, "doc_id long, toxic int, at array<int>, weight array<double>")
-    model = ToxicityModel(terms, idf, [(r[0], int(r[1] > 0), list(r[2]), list(r[3])) for r in rows.collect()], neighbours)
+    rows = known.mapInPandas(read, "doc_id long, toxic int, name binary, terms binary, counts binary").collect()  # at most `examples` rows
+    # Copies of a text are one example: else a copied text's own words look like signs of its label.
+    first: dict[bytes, list] = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        old = first.setdefault(bytes(r["name"]), [r["doc_id"], 0, r["terms"], r["counts"]])
+        old[1] |= int(r["toxic"] > 0)
+    del rows
+    kept = list(first.values())
+    model = ToxicityModel(
+        np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64),
+        np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32), neighbours,
+    )
     if len(model.index.keys) > 1:
         sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -245,8 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
             m = sent.value
             place = {k: i for i, k in enumerate(m.index.keys.tolist())}
             for batch in batches:
-                got = [(m.votes(*m.vector(t), place[d])[0], int(y > 0)) for d, t, y in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True) if d in place]
-                yield pd.DataFrame(got, columns=["votes", "toxic"])
+                own = [(m.vector(t), place[d]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if d in place]
+                got = m.votes([v for v, _ in own], [i for _, i in own])
+                yield pd.DataFrame({"votes": [g[0] for g in got], "toxic": [int(m.label[i]) for _, i in own]})
 
         tried = known.mapInPandas(others, "votes double, toxic int").toPandas().sort_values(["votes", "toxic"])  # at most `examples` rows
         model.calibrate(tried["votes"].to_numpy(), tried["toxic"].to_numpy(float))
@@ -256,24 +284,28 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with score, predicted, and evidence: the doc_ids and cosines of the labelled neighbours, nearest first.
 
-    Null and empty texts, and those without a term of the vocabulary, get the share of toxic ones
-    among such examples, and no neighbours.
+    Null and empty texts, and those without a word of any example, get the share of toxic ones among
+    such examples, and no neighbours. A very long text is read whole, and is one vector like any other.
+    Columns of docs with the names of the new ones are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.judge(t) for t in texts], columns=["score", "neighbours", "cosines"])
+        return pd.DataFrame(sent.value.judge(texts.tolist()), columns=["score", "neighbours", "cosines"])
 
     out = docs.withColumn("toxicity", judged(F.col("text").cast("string")))
-    return out.select(*docs.columns, F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("neighbours"), F.col("toxicity.cosines").alias("cosines"))
+    own = [c for c in docs.columns if c.lower() not in ("score", "predicted", "neighbours", "cosines")]
+    return out.select(*own, F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("neighbours"), F.col("toxicity.cosines").alias("cosines"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, neighbours, cosines.
 
-    Repeated rows are scored each; a null doc_id stays null and is not held out. lang, source and
-    doc_id are never inputs of a score.
+    Repeated rows are scored each, and alike; a null doc_id stays null and is not held out. lang, source
+    and doc_id are never inputs of a score. Ties between neighbours go to the smaller doc_id. Null, empty
+    and very long texts are as in score(). Other columns of docs and labels, whatever their names, are
+    ignored. An empty table gives no rows.
     """
     model = train(docs, labels, **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -282,7 +314,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever their names; rows are judged as in toxicity()."""
     model = train(docs, labels, **options)
     own = SetAside(docs)
     kept = score(own.rows.withColumn("text", own.column("text")), model).where("predicted = 0")
