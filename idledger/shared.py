@@ -21,8 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/idledger-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote with shared_path. Results that were not stored yet can no longer be computed.
+
+    Checkpoints are Spark's own; spark.cleaner.referenceTracking.cleanCheckpoints removes those out of use.
+    """
+    return delete(spark, scratch(spark))
 
 
 def materialised(df: DataFrame) -> DataFrame:
