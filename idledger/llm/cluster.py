@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import pickle
 import uuid
+from contextlib import contextmanager
+from typing import Any
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that separate words, as a literal set for trim/translate.
-WORD_SPACE = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="idledger-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
+from ..shared import materialised, shared_dir, shared_path
 
+__all__ = ["SetAside", "WORD_SPACE", "fetch", "load", "materialised", "numbered", "read", "renumbered", "share", "shared_dir", "shared_path", "store", "unit_interval"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; later reads survive the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Code points that separate words, as a literal set for trim/translate.
+WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
 def unit_interval(*parts: Column | str) -> Column:
@@ -45,6 +30,72 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_FETCHED: dict[str, Any] = {}
+
+
+@contextmanager
+def _written(path: str):
+    """A stream to a file under a name of this attempt's own, which is then renamed: a repeated attempt replaces it with the same bytes."""
+    where, base = _file_system(path)
+    folder, name = base.rsplit("/", 1)
+    where.create_dir(folder, recursive=True)
+    own = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(own) as out:
+        yield out
+    where.move(own, base)
+
+
+def store(path: str, data: bytes) -> None:
+    with _written(path) as out:
+        out.write(data)
+
+
+def load(path: str) -> bytes:
+    where, base = _file_system(path)
+    with where.open_input_stream(base) as f:
+        return f.read()
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    uri = path if ":/" in path else f"file://{path}"
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def share(spark: SparkSession, name: str, value: Any) -> str:
+    """Put a large model in the shared folder, compressed: workers read it from there, and no executor's own disk holds copies."""
+    path = shared_path(spark, name)
+    with _written(path) as out, zstandard.ZstdCompressor(level=1).stream_writer(out) as packed:
+        pickle.dump(value, packed, 5)
+    return path
+
+
+def fetch(path: str) -> Any:
+    """What share() put there; a worker keeps the last one it read."""
+    if path not in _FETCHED:
+        _FETCHED.clear()
+        where, base = _file_system(path)
+        with where.open_input_stream(base) as f, zstandard.ZstdDecompressor().stream_reader(f) as packed:
+            _FETCHED[path] = pickle.load(io.BufferedReader(packed, 1 << 20))
+    return _FETCHED[path]
+
+
+def numbered(rows: DataFrame, id_column: str, **columns: str) -> DataFrame:
+    """The id as a long without nulls, no_id where it was null, and other columns by their types.
+
+    A column of longs with a null reaches pandas as floats, which hold 53 bits; without nulls ids stay whole.
+    """
+    key = F.col(id_column).cast("long")
+    own = [F.col(c).cast(kind).alias(c) for c, kind in columns.items()]
+    return rows.select(F.coalesce(key, F.lit(0).cast("long")).alias(id_column), key.isNull().alias("no_id"), *own)
+
+
+def renumbered(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """rows of numbered() with their null ids again."""
+    return rows.select(*(F.when(~F.col("no_id"), F.col(c)).alias(c) if c == id_column else F.col(c) for c in rows.columns if c != "no_id"))
+
+
 class SetAside:
     """A table whose columns are called in_0, in_1, ..., so that no name clashes with an operator's own."""
 

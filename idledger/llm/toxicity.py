@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import SetAside, materialised
+from .cluster import SetAside, fetch, materialised, share
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
@@ -63,15 +64,17 @@ class BlockMaxIndex:
         """The documents' numbers of terms, one after the other, and their weights; `sizes` terms each. Documents with the
         same weightiest term share blocks."""
         starts = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(len(keys)), sizes)
-        last = np.lexsort((weight, of))[np.cumsum(sizes) - 1] if len(term) else np.zeros(0, np.int64)
-        chief = np.where(sizes > 0, term[last], -1) if len(term) else np.full(len(keys), -1)
+        chief = np.zeros(len(keys), np.int64)
+        if len(term):  # every document has a term
+            top = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, starts), sizes))
+            chief = term[top[np.searchsorted(top, starts)]]
         order = np.lexsort((keys, chief))
         post = _ranges(starts[order], (starts + sizes)[order])
         self.keys, self.block, self.terms = keys[order], block, terms
         self.blocks = -(-len(order) // block)
         self.doc_starts = np.concatenate([[0], np.cumsum(sizes[order])])
         self.term, self.weight = term[post].astype(np.int32), weight[post]
+        del post
         doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
         df = np.bincount(self.term, minlength=terms)
         common = np.flatnonzero(df * SHARED >= max(1, len(order)))
@@ -152,7 +155,9 @@ class ToxicityModel:
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, neighbours: int = NEIGHBOURS):
         """Examples: doc_ids, whether toxic (1 or 0), how many terms each has, and all of these in a row, as terms_of gives them."""
         self.neighbours = neighbours
-        self.terms, number, df = np.unique(terms, return_inverse=True, return_counts=True)
+        self.terms = np.unique(terms)
+        number = np.searchsorted(self.terms, terms).astype(np.int32)
+        df = np.bincount(number, minlength=len(self.terms))
         label, bads = toxic.astype(float), float(toxic.sum())
         in_bad = np.bincount(number, np.repeat(label, sizes), len(self.terms))
         self.idf = np.log((len(ids) + 1) / np.maximum(df, 1)) * scale_of(in_bad, df - in_bad, bads, len(ids) - bads)
@@ -165,7 +170,6 @@ class ToxicityModel:
         self.label = np.array([by_key[k] for k in self.index.keys.tolist()], float)
         self.share = (bads + 1) / (len(ids) + 2)
         self.blank_score = (float(label[~known].sum()) + 0.5) / (int((~known).sum()) + 5)
-        self.curve = (1.0, 0.0)
 
     def _unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(counts)) * self.idf[at]
@@ -188,33 +192,43 @@ class ToxicityModel:
             out.append((float(((near * self.label[docs]).sum() + self.share) / (near.sum() + 1)), docs, cosine))
         return out
 
-    def score(self, votes: float) -> float:
-        slope, shift = self.curve
+    @staticmethod
+    def score(votes: float, curve: tuple[float, float]) -> float:
+        slope, shift = curve
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, slope * math.log(votes / (1 - votes)) + shift))))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """A logistic curve from votes to labels, by Newton's method with a light pull to the identity."""
-        x, a, b = np.log(votes / (1 - votes)), 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-            w = p * (1 - p)
-            grad = np.array([((p - labels) * x).sum() + (a - 1), (p - labels).sum() + b])
-            hess = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-            step = np.linalg.solve(hess, grad)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-9:
-                break
-        self.curve = (a, b) if a > 0 and math.isfinite(a) and math.isfinite(b) else (1.0, 0.0)
-
-    def judge(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+    def judge(self, texts: list[str | None], curve: tuple[float, float]) -> list[tuple[float, list[int], list[float]]]:
         vectors = [self.vector(t) for t in texts]
         out: list = [(self.blank_score, [], [])] * len(texts)
         known = [i for i, v in enumerate(vectors) if len(v[0])]
         for i, (votes, docs, cosine) in zip(known, self.votes([vectors[i] for i in known]), strict=True):
-            out[i] = (self.score(votes), self.index.keys[docs].tolist(), cosine.tolist())
+            out[i] = (self.score(votes, curve), self.index.keys[docs].tolist(), cosine.tolist())
         return out
 
 
+def calibrated(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """A logistic curve from votes to labels, by Newton's method with a light pull to the identity."""
+    x, a, b = np.log(votes / (1 - votes)), 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
+        w = p * (1 - p)
+        grad = np.array([((p - labels) * x).sum() + (a - 1), (p - labels).sum() + b])
+        hess = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
+        step = np.linalg.solve(hess, grad)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(a), float(b)) if a > 0 and math.isfinite(a) and math.isfinite(b) else (1.0, 0.0)
+
+
+@dataclass(frozen=True)
+class Trained:
+    """Where in the shared folder a model is, and its curve."""
+
+    place: str
+    curve: tuple[float, float]
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -233,7 +247,7 @@ def scale_of(bad: np.ndarray, good: np.ndarray, bads: float, goods: float) -> np
     return LEAST + (1 - LEAST) * squared / (squared + HALF_WAY**2)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Trained:
     """Learn from the labelled documents that are not held out; at most `examples` of them, from their whole texts.
 
     A doc_id that is labelled twice counts as toxic if any label says so; one with several texts stands
@@ -265,34 +279,37 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
         np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64),
         np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32), neighbours,
     )
-    if len(model.index.keys) > 1:
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-
-        def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = sent.value
-            place = {k: i for i, k in enumerate(m.index.keys.tolist())}
-            for batch in batches:
-                own = [(m.vector(t), place[d]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if d in place]
-                got = m.votes([v for v, _ in own], [i for _, i in own])
-                yield pd.DataFrame({"votes": [g[0] for g in got], "toxic": [int(m.label[i]) for _, i in own]})
+    del kept, first
+    searched = len(model.index.keys)
+    place = share(docs.sparkSession, "toxicity-model", model)
+    del model
+    if searched < 2:
+        return Trained(place, (1.0, 0.0))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = fetch(place)
+        at = {k: i for i, k in enumerate(m.index.keys.tolist())}
+        for batch in batches:
+            own = [(m.vector(t), at[d]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if d in at]
+            got = m.votes([v for v, _ in own], [i for _, i in own])
+            yield pd.DataFrame({"votes": [g[0] for g in got], "toxic": [int(m.label[i]) for _, i in own]})
 
-        tried = known.mapInPandas(others, "votes double, toxic int").toPandas().sort_values(["votes", "toxic"])  # at most `examples` rows
-        model.calibrate(tried["votes"].to_numpy(), tried["toxic"].to_numpy(float))
-    return model
+    tried = known.mapInPandas(others, "votes double, toxic int").toPandas().sort_values(["votes", "toxic"])  # at most `examples` rows
+    return Trained(place, calibrated(tried["votes"].to_numpy(), tried["toxic"].to_numpy(float)))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score(docs: DataFrame, model: Trained) -> DataFrame:
     """docs with score, predicted, and evidence: the doc_ids and cosines of the labelled neighbours, nearest first.
 
     Null and empty texts, and those without a word of any example, get the share of toxic ones among
     such examples, and no neighbours. A very long text is read whole, and is one vector like any other.
     Columns of docs with the names of the new ones are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place, curve = model.place, model.curve
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(sent.value.judge(texts.tolist()), columns=["score", "neighbours", "cosines"])
+        return pd.DataFrame(fetch(place).judge(texts.tolist(), curve), columns=["score", "neighbours", "cosines"])
 
     out = docs.withColumn("toxicity", judged(F.col("text").cast("string")))
     own = [c for c in docs.columns if c.lower() not in ("score", "predicted", "neighbours", "cosines")]
