@@ -17,7 +17,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .cluster import numbered, renumbered
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -384,9 +385,9 @@ def extract(pages: DataFrame, model: ContentModel | None = None) -> DataFrame:
                 part = batch.iloc[low : low + 200]
                 got = fitted.extract(part["html"].tolist())
                 yield pd.DataFrame({
-                    "page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": [g[0] for g in got],
+                    "page_id": part["page_id"], "no_id": part["no_id"], "url": part["url"], "text": [g[0] for g in got],
                     "n_chars": [len(g[0]) for g in got], "confidence": [g[1] for g in got],
                 })
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(read, "page_id long, url string, text string, n_chars long, confidence double")
+    rows = numbered(pages, "page_id", url="string", html="string")
+    return renumbered(rows.mapInPandas(read, "page_id long, no_id boolean, url string, text string, n_chars long, confidence double"), "page_id")

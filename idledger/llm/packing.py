@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialised
+from .cluster import materialised, numbered, renumbered
 from .tokens import encoder
 
 END_ID = 2
@@ -24,7 +24,7 @@ TEXTS = 4000
 LENGTH = 4096
 #: Tokens that one group holds on average; a group is packed by one task in memory.
 GROUP_TOKENS = 1 << 21
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
@@ -69,30 +69,30 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
-    """One row per piece of each document: its place in the document, its length and the checksum of its ids."""
+    """One row per piece of each document: its place in the document, its length and the checksum of its ids. Where no_id is true the doc_id is null."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(vocabulary)
         for batch in batches:
             for low in range(0, len(batch), TEXTS):
                 part, rows = batch.iloc[low : low + TEXTS], []
-                for doc, ids in zip(part["doc_id"], coder.encode(part["text"].tolist()), strict=True):
+                for doc, none, ids in zip(part["doc_id"].tolist(), part["no_id"].tolist(), coder.encode(part["text"].tolist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
-                        rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                yield out.astype({"doc_id": "Int64"})
+                        rows.append((doc, none, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                yield pd.DataFrame(rows, columns=["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return numbered(docs, "doc_id", text="string").mapInPandas(cut, PIECES)
 
 
 def pack(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, length: int = LENGTH, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most `length` ids.
 
     Every document is its ids followed by end_id; a null or empty text is the end id alone. Repeated
-    rows are packed each for itself; a null doc_id stays null. Other columns are ignored. An empty
-    table gives no rows. Groups are drawn at random by row, so one document id or text that is
+    rows are packed each for itself; a null doc_id stays null. A very long text is encoded whole and cut
+    into pieces of `length`. Pieces of equal length are placed in order of doc_id and place. Other
+    columns, whatever their names, are ignored. An empty table gives no rows. Groups are drawn at random by row, so one document id or text that is
     repeated many times is spread over all groups; their number follows the count of tokens.
     """
     cut = materialised(pieces(docs, vocabulary=vocabulary, end_id=end_id, length=length))
@@ -100,9 +100,9 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID
     groups = max(1, -(-total // group_tokens))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["no_id", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(np.int64), length)
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
+        return rows[["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
 
     dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(fill, PACKED)
+    return renumbered(dealt.groupBy("bin_group").applyInPandas(fill, PACKED))

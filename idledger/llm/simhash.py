@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import SetAside, materialised
+from .cluster import SetAside, materialised, numbered, renumbered
 from .components import components
 
 SEED = 42
@@ -51,9 +51,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             marks = np.fromiter((fingerprint(t, shingle, seed) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": marks.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "mark": marks.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(sign, "doc_id long, mark long")
+    return renumbered(numbered(docs, "doc_id", text="string").mapInPandas(sign, "doc_id long, no_id boolean, mark long"))
 
 
 def link_labels(homes: np.ndarray, others: np.ndarray, radius: int, within: bool) -> np.ndarray:
@@ -158,7 +158,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; shingles keep repeats. A null
     or empty text has fingerprint zero and is linked like any other. Repeated rows share a fingerprint
     and give a row each. A null doc_id is kept and never chosen; a component of such rows alone has a null
-    component_id. Other columns are ignored. An empty table gives no rows.
+    component_id. Ties do not arise: a component is named by its least doc_id. A very long text is read
+    whole, in one pass, its shingles counted in bounded pieces. Other columns, whatever their names, are
+    ignored. An empty table gives no rows.
+
+    Work: a tile's chunks meet its own and its neighbours', so beyond CHUNK fingerprints in a tile the
+    comparisons grow with the square of its size, and each fingerprint is sent once for each chunk it
+    meets. That is the price of an exact comparison by tiles; distinct fingerprints alone count.
     """
     signed = materialised(fingerprints(docs, shingle, seed))
     first = signed.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
