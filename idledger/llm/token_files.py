@@ -2,8 +2,8 @@
 
 A file holds consecutive documents in ascending doc_id order:
 
-    magic "IDLTOK1\\0", then as little-endian unsigned 64-bit integers: bits per id, ids per block,
-    documents, ids, blocks; then for each document its doc_id (signed 64-bit) and its first id's
+    magic "IDLTOK2\\0", then as little-endian unsigned 64-bit integers: bits per id, ids per block,
+    documents, ids, blocks, documents without a doc_id (they come first); then for each document its doc_id (signed 64-bit) and its first id's
     place in the file; then every block's byte offset in the payload, one more for its end; then the
     payload, each block starting on a byte.
 
@@ -18,21 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_path
+from .cluster import materialised, numbered, renumbered, shared_path, store
 from .tokens import encoder
 
 END_ID = 1
 #: Texts encoded together; a word that they share is looked up once.
 TEXTS = 4000
 BLOCK = 4096
-MAGIC = b"IDLTOK1\0"
-#: Bytes of text that go to one file on average.
-FILE_BYTES = 8 << 20
-#: Stored in place of a null doc_id, which sorts first.
-NO_DOC = -(1 << 63)
+MAGIC = b"IDLTOK2\0"
+#: Bytes of text that go to one file on average; a file is written and read by one task in memory.
+FILE_BYTES = 32 << 20
 
 
 def width(vocabulary_size: int) -> int:
@@ -54,10 +52,10 @@ def unpack_bits(packed: bytes | memoryview, bits: int, count: int) -> np.ndarray
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32).astype("<u4")
 
 
-def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK, without_id: int = 0) -> bytes:
     packed = [pack_bits(ids[at : at + block], bits) for at in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, packed)])
-    head = np.array([bits, block, len(doc_ids), len(ids), len(packed)], "<u8").tobytes()
+    head = np.array([bits, block, len(doc_ids), len(ids), len(packed), without_id], "<u8").tobytes()
     index = np.stack([doc_ids, starts], axis=1).astype("<i8").tobytes() if len(doc_ids) else b""
     return b"".join([MAGIC, head, index, offsets.astype("<u8").tobytes(), *packed])
 
@@ -68,11 +66,11 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.bits, self.block, docs, self.count, blocks = np.frombuffer(data, "<u8", 5, 8).astype(int).tolist()
-        table = np.frombuffer(data, "<i8", 2 * docs, 48).reshape(docs, 2)
+        self.bits, self.block, docs, self.count, blocks, self.without_id = np.frombuffer(data, "<u8", 6, 8).astype(int).tolist()
+        table = np.frombuffer(data, "<i8", 2 * docs, 56).reshape(docs, 2)
         self.doc_ids, self.starts = table[:, 0], table[:, 1]
-        self.offsets = np.frombuffer(data, "<u8", blocks + 1, 48 + 16 * docs).astype(np.int64)
-        self.payload = memoryview(data)[48 + 16 * docs + 8 * (blocks + 1) :]
+        self.offsets = np.frombuffer(data, "<u8", blocks + 1, 56 + 16 * docs).astype(np.int64)
+        self.payload = memoryview(data)[56 + 16 * docs + 8 * (blocks + 1) :]
         if len(self.payload) != self.offsets[-1]:
             raise ValueError("the token file is cut short")
 
@@ -88,82 +86,66 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]) if i + 1 < len(self.starts) else self.count)
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    """Write under a name of this attempt's own, then rename: a repeated attempt replaces it with the same bytes."""
-    import uuid
-
-    from pyarrow import fs
-
-    where, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    where.create_dir(base, recursive=True)
-    own = f"{base}/_{name}.{uuid.uuid4().hex}"
-    with where.open_output_stream(own) as out:
-        out.write(data)
-    where.move(own, f"{base}/{name}")
-
-
 def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write documents (doc_id, text) as token files in ascending doc_id order; returns a row per file.
 
-    The rows (file, documents, ids) are in file order and already computed. A null or empty text is its
-    end id alone; null doc_ids come first; rows of one doc_id are ordered by their text's hash. One
-    doc_id that is repeated many times is dealt over several files by that hash. Other columns are
+    The rows (part, file, documents, ids) are already computed; `part` numbers the files in order. A null
+    or empty text is its end id alone; null doc_ids come first; rows of one doc_id are ordered by their
+    text's hash, and equal rows by where they were read, so that a row that is repeated many times is
+    dealt over several files. A very long text is encoded whole and lies in one file. Other columns are
     ignored. An empty table gives no file.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = numbered(docs.withColumn("text", text), "doc_id", text="string")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     files = max(1, -(-total // file_bytes))
-    ordered = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    ordered = ordered.withColumn("part", F.spark_partition_id())
+    order = [F.desc("no_id"), "doc_id", "text_hash", "row"]
+    placed = rows.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, bits, doc_ids, sizes, got, part = encoder(vocabulary), 0, [], [], [], None
+        coder, bits, doc_ids, without, sizes, got, part = encoder(vocabulary), 0, [], 0, [], [], None
         bits = width(max(coder.size, end_id + 1))
         for batch in batches:
             for low in range(0, len(batch), TEXTS):
                 rows = batch.iloc[low : low + TEXTS]
                 part = int(rows["part"].iloc[0])
-                doc_ids.append(rows["doc_id"].astype("Int64").fillna(NO_DOC).to_numpy(np.int64))
+                doc_ids.append(rows["doc_id"].to_numpy(np.int64))
+                without += int(rows["no_id"].sum())
                 for ids in coder.encode(rows["text"].tolist()):
                     got.append(np.append(ids, np.uint32(end_id)).astype(np.uint16 if bits <= 16 else np.uint32))
                     sizes.append(len(got[-1]))
         if part is not None:
             starts = np.cumsum([0, *sizes[:-1]])
             name = f"part-{part:08d}.tok"
-            _store(folder, name, encode_file(np.concatenate(doc_ids), starts, np.concatenate(got), bits, block))
-            yield pd.DataFrame({"file": [name], "documents": [len(sizes)], "ids": [int(sum(sizes))]})
+            store(f"{folder}/{name}", encode_file(np.concatenate(doc_ids), starts, np.concatenate(got), bits, block, without))
+            yield pd.DataFrame({"part": [part], "file": [name], "documents": [len(sizes)], "ids": [int(sum(sizes))]})
 
-    written = ordered.select("doc_id", "text", "part").mapInPandas(write, "file string, documents long, ids long").collect()
-    written = sorted(tuple(r) for r in written)
-    return spark.createDataFrame(written, "file string, documents long, ids long")
+    return materialised(ordered.select("doc_id", "no_id", "text", "part").mapInPandas(write, "part long, file string, documents long, ids long"))
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """A row per document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The manifest has a row per file; its running sum of ids is a small map that goes to every task.
+    The manifest has a row per file; the running sum of its ids is a table that the documents are joined
+    with. Files that it does not list are passed over.
     """
-    listed = manifest.orderBy("file").collect()
-    before = dict(zip([r["file"] for r in listed], np.cumsum([0, *(r["ids"] for r in listed)]).tolist(), strict=False))
-    shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not before:
-        return spark.createDataFrame([], shape)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    bases = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                if name not in before:
-                    continue
                 file = TokenFile(content)
                 ids, ends = file.ids(0, file.count), np.append(file.starts[1:], file.count)
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(file.starts.tolist(), ends.tolist(), strict=True)]
-                docs = pd.Series(file.doc_ids).astype("Int64").mask(file.doc_ids == NO_DOC)
-                yield pd.DataFrame({"doc_id": docs, "start": file.starts + before[name], "n_tokens": ends - file.starts, "ids_crc32": crc})
+                yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "doc_id": file.doc_ids, "no_id": np.arange(len(crc)) < file.without_id, "at": file.starts, "n_tokens": ends - file.starts, "ids_crc32": crc})
 
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
-    return found.select("path", "content").mapInPandas(decode, shape)
+    docs = found.select("path", "content").mapInPandas(decode, "file string, doc_id long, no_id boolean, at long, n_tokens long, ids_crc32 long")
+    return renumbered(docs.join(bases, "file")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
