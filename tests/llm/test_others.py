@@ -233,6 +233,76 @@ def test_extract(spark, model):
 # Licences.
 
 
+NAMED = {
+    "SPDX-License-Identifier: ISC": ["ISC"],
+    "# SPDX-License-Identifier: MPL-2.0\nimport os": ["MPL-2.0"],
+    "/* SPDX-License-Identifier: GPL-2.0-or-later */": ["GPL-2.0-or-later"],
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT OR Apache-2.0"],
+    "SPDX-License-Identifier: (LGPL-2.1-only WITH Classpath-exception-2.0 AND CC-BY-NC-4.0)": ["(LGPL-2.1-only WITH Classpath-exception-2.0 AND CC-BY-NC-4.0)"],
+    "This project is licensed under the MIT License.": ["MIT"],
+    "Distributed under the MIT License.": ["MIT"],
+    "This work is licensed under CC BY 4.0.": ["CC-BY-4.0"],
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+    "Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n": ["Apache-2.0"],
+    "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.": ["GPL-3.0-only"],
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": ["LGPL-2.1-or-later"],
+    "Licensed under either of Apache License, Version 2.0 or the MIT licence, at your option.": ["Apache-2.0", "MIT"],
+    "This is not licensed under the MIT License.": [],
+    "Foo is released under terms that differ. The licence is unknown.": [],
+}
+
+
+def test_licence_notices_and_expressions(spark):
+    s = Scanner()
+    assert {t: [x[0] for x in s.scan(t)] for t in NAMED} == NAMED
+    docs = spark.createDataFrame([((1 << 60) + i, f"Some words.\n{t}") for i, t in enumerate(NAMED)] + [(None, "MIT")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_licences(docs).collect()}
+    for i, (t, names) in enumerate(NAMED.items()):
+        r = got[(1 << 60) + i]
+        assert r["licences"] == ",".join(dict.fromkeys(names)) and r["n_matches"] == len(names)
+        assert r["restricted"] == any("-NC" in n for n in names)
+        assert all(f"Some words.\n{t}"[x["start"] : x["end"]].strip("() ") for x in r["spans"])
+    assert got[None]["n_matches"] == 0 and len(got) == len(NAMED) + 1
+
+
+def test_the_parts_of_a_licence_stand_together():
+    s = Scanner()
+    parts = [SENTENCES[k] for k in ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names")]
+    assert [x[0] for x in s.scan(".\n".join(parts) + ".")] == ["BSD-3-Clause"]
+    far = ".\n" + "other words " * 40 + ".\n"
+    assert [x[0] for x in s.scan(".\n".join(parts[:3]) + far + parts[3] + ".")] == ["BSD-2-Clause"]
+    assert s.scan(far.join(parts) + ".") == []
+
+
+def test_sentence_rules_equal_a_plain_matcher():
+    """Sentences by splitting at every edge and comparing word lists, rules by trying each at each place."""
+    import re
+
+    from idledger.llm.licenses import RULES, gnu_sentences, words_of
+
+    table = SENTENCES | gnu_sentences()
+    plain = {name: words_of(t) for name, t in table.items()}
+    rng, s = random.Random(8), Scanner(named={})
+    for _ in range(60):
+        names = []
+        for _ in range(rng.randint(1, 6)):
+            r = rng.choice(RULES)
+            names += [*r.sentences, *(["noise"] * rng.randint(0, 2))]
+        text = "\n".join((table[n] if n != "noise" else "nothing to see here") + "." for n in names)
+        ids = []
+        for line in text.split("\n"):
+            hit = [n for n in plain if plain[n] == words_of(line)]
+            ids.append(min(hit, key=list(plain).index) if hit else None)
+        ids = [i for i in ids if i]
+        want, i = [], 0
+        while i < len(ids):
+            r = next((r for r in RULES if all(x == y or plain.get(x) == plain.get(y) for x, y in zip(r.sentences, ids[i:], strict=False)) and len(ids) - i >= len(r.sentences)), None)
+            want += [r.licence] if r else []
+            i += len(r.sentences) if r else 1
+        got = [x[0] for x in s.scan(text)]
+        assert got == want, re.sub(r"\n", " | ", text)
+
+
 def test_licence_rules(docs, rows, no_docs):
     s = Scanner()
     mit = ".\n".join(SENTENCES[k] for k in ("mit.grant", "mit.notice", "mit.asis", "mit.liable")) + "."
