@@ -63,12 +63,10 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def share(spark: SparkSession, name: str, value: Any) -> str:
-    """Put a large model in the shared folder, compressed: workers read it from there, and no executor's own disk holds copies."""
-    path = shared_path(spark, name)
+def share(path: str, value: Any) -> None:
+    """Write a large model to the shared folder, compressed: workers read it from there, and no executor's own disk holds copies."""
     with _written(path) as out, zstandard.ZstdCompressor(level=1).stream_writer(out) as packed:
         pickle.dump(value, packed, 5)
-    return path
 
 
 def fetch(path: str) -> Any:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import SetAside, fetch, materialised, share
+from .cluster import SetAside, fetch, materialised, share, shared_path
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
@@ -267,22 +267,25 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
             names = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "name": names, "terms": [g[0].tobytes() for g in got], "counts": [g[1].astype(np.uint32).tobytes() for g in got]})
 
-    rows = known.mapInPandas(read, "doc_id long, toxic int, name binary, terms binary, counts binary").collect()  # at most `examples` rows
-    # Copies of a text are one example: else a copied text's own words look like signs of its label.
-    first: dict[bytes, list] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        old = first.setdefault(bytes(r["name"]), [r["doc_id"], 0, r["terms"], r["counts"]])
-        old[1] |= int(r["toxic"] > 0)
-    del rows
-    kept = list(first.values())
-    model = ToxicityModel(
-        np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64),
-        np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32), neighbours,
-    )
-    del kept, first
-    searched = len(model.index.keys)
-    place = share(docs.sparkSession, "toxicity-model", model)
-    del model
+    place = shared_path(docs.sparkSession, "toxicity-model")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Copies of a text are one example: else a copied text's own words look like signs of its label.
+        first: dict[bytes, list] = {}
+        for batch in batches:
+            for name, doc_id, toxic, terms, counts in zip(batch["name"], batch["doc_id"].tolist(), batch["toxic"].tolist(), batch["terms"], batch["counts"], strict=True):
+                old = first.setdefault(name, [doc_id, 0, terms, counts])
+                old[:2] = min(old[0], doc_id), old[1] | int(toxic > 0)
+        kept = sorted(first.values(), key=lambda x: x[0])
+        model = ToxicityModel(
+            np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64),
+            np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32), neighbours,
+        )
+        share(place, model)
+        yield pd.DataFrame({"searched": [len(model.index.keys)]})
+
+    rows = known.mapInPandas(read, "doc_id long, toxic int, name binary, terms binary, counts binary").repartition(1)  # at most `examples` rows
+    searched = rows.mapInPandas(build, "searched long").first()[0]
     if searched < 2:
         return Trained(place, (1.0, 0.0))
 
