@@ -4,23 +4,29 @@ Distinct vectors are dealt at random to shards of bounded size. In a shard every
 component that makes all norms equal, so that the largest inner product is the least distance. Greedy
 searches over the growing graph propose a vector's neighbours; pruning with a relaxed distance keeps
 the ones that lead in different directions; edges are mirrored and pruned again. A query runs a beam
-search in each shard, in blocks of queries, and the shards' best are merged.
+search in each shard, in blocks of queries, and the shards' best are merged. The beam is as wide as a
+measured recall asks for.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import materialised
+from .cluster import load, materialised, shared_path, store
 
 DEGREE, BUILD_BEAM, SEARCH_BEAM = 32, 64, 128
 #: Squared relaxations of the distance in the two passes of the build.
 RELAXED = (1.0, 1.44)
 SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 20_000, 8_192
 BATCH, EXPANDED = 512, 4
+#: The recall that a task's beam must reach, and the queries that it is measured on.
+RECALL, SAMPLE = 0.95, 48
 
 
 def levelled(vectors: np.ndarray) -> np.ndarray:
@@ -173,67 +179,117 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, degree: int = DEGREE, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _top(queries: np.ndarray, points: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the `most` points with the largest inner products with each query, best first."""
+    near = queries @ points.T
+    at = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(points) else np.tile(np.arange(len(points)), (len(queries), 1))
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def beam_for(points: np.ndarray, out: np.ndarray, entry: int, queries: np.ndarray, k: int, beam: int, recall: float) -> int | None:
+    """The beam, doubled from the given one, at which a sample of the queries finds its best 3 and best k with this
+    recall, as a scan of the points tells; None where a beam of an eighth of the points would not do."""
+    some = queries[:: max(1, len(queries) // SAMPLE)][:SAMPLE]
+    want = _top(some, points, min(k, len(points)))
+    beam = max(beam, k)
+    while beam * 8 <= max(len(points), 8 * k):
+        found, _ = beam_search(points, out, entry, some, min(beam, len(points)))
+        shares = [np.mean([np.isin(w[:n], f[:n]).mean() for w, f in zip(want, found, strict=True)]) for n in (3, k)]
+        if min(shares) >= recall:
+            return beam
+        beam *= 2
+    return None
+
+
+def search_shard(points: np.ndarray, out: np.ndarray, entry: int, queries: np.ndarray, k: int, beam: int, recall: float | None) -> tuple[np.ndarray, int | None]:
+    """The best k points of each query, -1 where fewer, and the beam used; None for a scan of all points, which is exact.
+
+    Without a recall to reach, every point is scanned.
+    """
+    width = min(k, len(points))
+    chosen = beam_for(points, out, entry, queries, k, beam, recall) if recall is not None and len(points) > 8 * k else None
+    found = []
+    for low in range(0, len(queries), BATCH):
+        part = queries[low : low + BATCH]
+        found.append(_top(part, points, width) if chosen is None else beam_search(points, out, entry, part, chosen)[0][:, :width])
+    return np.concatenate(found), chosen
+
+
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, degree: int = DEGREE, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, recall: float | None = RECALL) -> DataFrame:
     """For each query row of `vectors` (vec_id, embedding): query_id, rank (from 1), vec_id, score.
 
     The k rows with the largest inner product that the search finds, or all if there are fewer; ties go
-    to the smaller vec_id. Rows without a vec_id, unusable vectors, and vectors of another length than
-    most take no part. Equal vectors are one point of a graph with their k + 1 smallest ids, which is
-    all that a result can hold. A row that repeats both id and vector counts once. Other columns are
+    to the smaller vec_id. Rows without a vec_id and unusable vectors take no part. Vectors of different
+    lengths have no inner product: each length is searched for itself. Equal vectors are one point of a
+    graph with their k + 1 smallest ids, which is all that a result can hold. A row that repeats both id
+    and vector counts once. Very long vectors are vectors like any other; texts and other columns are
     ignored. Without usable vectors there are no rows.
+
+    Each shard's graph and each block of queries is written to the shared folder once, and the tasks, one
+    for each pair of them, read both from there. A task measures the recall of its beam on a sample of its
+    queries, and widens it until `recall` is reached; where the graph cannot do that, as with vectors
+    spread evenly in many dimensions, it scans the shard. recall=None scans every shard: an exact search.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null").where(usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], shape)
-    rows = rows.where(F.size("v") == sizes["d"])
     first = rows.select("v", "vec_id").withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    points = first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    count = rows.agg(F.count_distinct("v")).first()[0]
-    shards = max(SHARDS, -(-count // shard_rows))
-    points = materialised(points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")))
-    points = points.withColumn("point", F.monotonically_increasing_id())
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        out, entry = build_graph(levelled(np.stack(part["v"].to_numpy())), degree, build_beam)
-        part = part[["shard", "point", "v"]].assign(place=np.arange(len(part)), entry=entry)
-        part["links"] = [x[x >= 0].tolist() for x in out]
-        return part
-
-    graph = materialised(points.select("shard", "point", "v").groupBy("shard").applyInPandas(link, "shard int, point long, v array<double>, place long, entry long, links array<long>"))
+    points = materialised(first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("point", F.monotonically_increasing_id()))
     asked = rows.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct()
     asking = materialised(asked.join(points.select("v", "point"), "v").select("query_id", F.col("point").alias("q"), "v"))
-    query_points = asking.select("q", "v").dropDuplicates(["q"])
-    n_queries = query_points.count()
-    blocks = max(1, -(-n_queries // query_block))
-    dealt = query_points.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    sent = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def ask(part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(queries):
-            return pd.DataFrame({"q": [], "point": [], "score": []})
-        part = part.sort_values("place", ignore_index=True)
+
+    def parted(df: DataFrame, key: str, size: int, least: int, name: str) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
+        """df with a part number, each part of one length and about `size` rows; (length, part) of all parts; how many by length."""
+        counts = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row per length
+        sizes = [(r["d"], max(least, -(-r["n"] // size))) for r in counts]
+        if not sizes:
+            return df, None, {}
+        table = spark.createDataFrame([(d, n, sum(m for _, m in sizes[:i])) for i, (d, n) in enumerate(sizes)], "d int, parts int, base int")
+        placed = df.withColumn("d", F.size("v")).join(table, "d").withColumn(name, (F.col("base") + F.pmod(F.xxhash64(key), F.col("parts"))).cast("int"))
+        return placed.drop("d", "parts", "base"), table.select("d", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias(name)), dict(sizes)
+
+    sharded, shards, by_length = parted(points, "v", shard_rows, SHARDS, "shard")
+    blocked, blocks, asked_by_length = parted(asking.select("q", "v").dropDuplicates(["q"]), "q", query_block, 1, "block")
+    if shards is None or blocks is None:
+        return spark.createDataFrame([], shape)
+    folder = shared_path(spark, "nearest")
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
         exact = np.stack(part["v"].to_numpy())
-        out = np.full((len(part), max(1, part["links"].map(len).max())), -1, np.int64)
-        for i, x in enumerate(part["links"]):
-            out[i, : len(x)] = x
-        level, wanted = levelled(exact), np.stack(queries["v"].to_numpy())
-        flat = np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32)
-        best = []
-        for low in range(0, len(flat), BATCH):
-            found, _ = beam_search(level, out, int(part["entry"].iloc[0]), flat[low : low + BATCH], search_beam)
-            found = found[:, : k + 1 + 8]
-            q, at = np.nonzero(found >= 0)
-            ids = found[q, at]
-            score = np.einsum("ij,ij->i", exact[ids], wanted[low + q])
-            best.append(pd.DataFrame({"q": queries["q"].to_numpy()[low + q], "point": part["point"].to_numpy()[ids], "score": score}))
-        return pd.concat(best)
-
-    found = spread.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(ask, "q long, point long, score double")
+        out, entry = build_graph(levelled(exact), degree, build_beam) if recall is not None else (np.full((len(exact), 1), -1, np.int64), 0)
+        shard = int(part["shard"].iloc[0])
+        store(f"{folder}/shard-{shard}", pickle.dumps((exact, part["point"].to_numpy(np.int64), out.astype(np.int32), entry), 5))
+        return pd.DataFrame({"shard": [shard]})
+
+    def keep(part: pd.DataFrame) -> pd.DataFrame:
+        block = int(part["block"].iloc[0])
+        store(f"{folder}/block-{block}", pickle.dumps((np.stack(part["v"].to_numpy()), part["q"].to_numpy(np.int64)), 5))
+        return pd.DataFrame({"block": [block]})
+
+    stored = materialised(sharded.select("shard", "point", "v").groupBy("shard").applyInPandas(link, "shard int"))
+    kept = materialised(blocked.select("block", "q", "v").groupBy("block").applyInPandas(keep, "block int"))
+    pairs = shards.join(stored, "shard").join(blocks.join(kept, "block"), "d").select("shard", "block")
+    work = sum(n * by_length.get(d, 0) for d, n in asked_by_length.items())
+    tasks = pairs.repartitionByRange(max(spark.sparkContext.defaultParallelism, min(work, 10_000)), "shard", "block").sortWithinPartitions("shard", "block")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_shard, graph = None, None
+        for batch in batches:
+            for shard, block in zip(batch["shard"].tolist(), batch["block"].tolist(), strict=True):
+                if shard != open_shard:
+                    open_shard, graph = shard, pickle.loads(load(f"{folder}/shard-{shard}"))
+                    level = levelled(graph[0])
+                exact, names, out, entry = graph
+                wanted, q = pickle.loads(load(f"{folder}/block-{block}"))
+                flat = np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32)
+                found, _ = search_shard(level, out.astype(np.int64), entry, flat, k + 1 + 8, search_beam, recall)
+                for low in range(0, len(q), BATCH):
+                    who, at = np.nonzero(found[low : low + BATCH] >= 0)
+                    hit, who = found[low : low + BATCH][who, at], who + low
+                    yield pd.DataFrame({"q": q[who], "point": names[hit], "score": np.einsum("ij,ij->i", exact[hit], wanted[who])})
+
+    found = tasks.mapInPandas(ask, "q long, point long, score double")
     listed = found.join(points.select("point", "ids"), "point").select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = listed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)

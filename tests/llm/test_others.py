@@ -171,6 +171,39 @@ def test_nearest_recall(spark, copies):
     assert hit / total >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_of_a_full_shard(kind):
+    """20,000 vectors of 64 dimensions in one shard; queries from it and from outside."""
+    rng = np.random.default_rng(6)
+    n, d = ann.SHARD_ROWS, 64
+    if kind == "even":
+        every = rng.normal(size=(n + 300, d))
+    else:
+        every = rng.normal(size=(200, d))[rng.integers(0, 200, n + 300)] + 0.3 * rng.normal(size=(n + 300, d))
+    level = ann.levelled(every[:n])
+    out, entry = ann.build_graph(level)
+    asked = np.concatenate([every[n:], every[:300]])
+    flat = np.concatenate([asked, np.zeros((600, 1))], axis=1).astype(np.float32)
+    found, beam = ann.search_shard(level, out, entry, flat, 29, ann.SEARCH_BEAM, ann.RECALL)
+    exact, none = ann.search_shard(level, out, entry, flat, 29, ann.SEARCH_BEAM, None)
+    want = np.argsort(-(asked @ every[:n].T), axis=1)[:, :21]
+    assert none is None and np.mean([np.isin(w, e).mean() for w, e in zip(want, exact, strict=True)]) > 0.999
+    for most in (3, 21):
+        assert np.mean([np.isin(w[:most], f).mean() for w, f in zip(want, found, strict=True)]) >= 0.9
+    assert (beam is None) == (kind == "even")
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for recall in (ann.RECALL, None):
+        got = ann.nearest(df, F.col("vec_id") % 5 == 0, k=3, recall=recall).collect()
+        for i, v in rows[::5]:
+            best = sorted(((-float(np.dot(v, w)), j) for j, w in rows if j != i and len(w) == len(v)))[:3]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == [j for _, j in best]
+
+
 def test_nearest_edges(spark):
     shape = "vec_id long, embedding array<float>, v string, q string"
     odd = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0])]
