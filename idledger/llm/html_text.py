@@ -23,14 +23,16 @@ from .cluster import numbered, renumbered
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # HTML's element classes.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle mpadded mfenced semantics annotation tspan".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-UNSHOWN = frozenset("head script style textarea title noscript template svg math iframe object select button datalist canvas audio video".split())
+UNSHOWN = frozenset("head script style textarea title template iframe object select button datalist canvas audio video".split())
+#: What may stand in a head; anything else ends one that was left open.
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table tr td blockquote pre figure figcaption address details".split()
+TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table caption thead tbody tr th td blockquote pre figure figcaption address details".split()
 #: Words in class, id and role attributes that say what an element is for.
 HINTS = {
     "content": "article content post entry main story text body prose copy",
@@ -44,7 +46,7 @@ HINTS = {
 }
 _HINT = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
 EDGES = ("section", "text", "list", "other")
-_EDGE = {t: 0 for t in "main article section div body td table header footer aside nav form fieldset details".split()}
+_EDGE = {t: 0 for t in "main article section div body th td tr tbody thead table header footer aside nav form fieldset details".split()}
 _EDGE |= {t: 1 for t in "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address".split()}
 _EDGE |= {t: 2 for t in "ul ol li dl dt dd".split()}
 WIDTH = 1 + len(TAGS) + len(HINTS) + 9
@@ -106,10 +108,19 @@ def parse(text: str | None) -> Page:
         hidden -= sum(t in UNSHOWN for t, _ in stack[k:])
         del stack[k:]
 
+    def implied(tag: str) -> None:
+        """End a head that was left open, and begin a body that was left out."""
+        if stack[-1][0] == "head":
+            close(len(stack) - 1)
+        if stack[-1][0] == "html" and tag != "body":
+            stack.append(("body", add("body", "", stack[-1][1])))
+
     at = 0
     while True:
         m = _TAG.search(source, at)
         chunk = source[at : m.start()] if m else source[at:]
+        if chunk.strip():
+            implied("")
         if chunk and not hidden:
             shown = html.unescape(chunk) if "&" in chunk else chunk
             pieces.append(shown)
@@ -122,6 +133,8 @@ def parse(text: str | None) -> Page:
         if not name:
             continue
         tag, ends, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if not ends and tag not in IN_HEAD:
+            implied(tag)
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if ends else 1
@@ -138,7 +151,7 @@ def parse(text: str | None) -> Page:
             if k:
                 close(k)
             continue
-        if tag == "html":
+        if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
             continue
         if tag in CLOSES_P and any(t == "p" for t, _ in stack):
             close(next(k for k in range(len(stack)) if stack[k][0] == "p"))
@@ -248,7 +261,7 @@ class ContentModel:
         return out
 
 
-def train(labelled: Iterable[str], *, rounds: int = 300, rate: float = 0.1, pull: float = 0.02) -> ContentModel:
+def train(labelled: Iterable[str], *, rounds: int = 300, rate: float = 0.1, pull: float = 0.003) -> ContentModel:
     """Fit the potentials to pages whose elements carry data-content="1" or "0"; others take their parent's mark.
 
     Gradient ascent with momentum-scaled steps on the likelihood of the marks, less `pull` times the squared weights.
@@ -281,7 +294,7 @@ def train(labelled: Iterable[str], *, rounds: int = 300, rate: float = 0.1, pull
     return ContentModel(weights, edges)
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
     """Labelled pages in many layouts, made by rule: the marks are known because the page is built around its content."""
     rng = random.Random(seed)
     syllables = "ba co du fe gi lo mu na pe ri so tu va we xi yo za ker lim not".split()
@@ -301,9 +314,9 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
     def named(names: str) -> str:
         return rng.choice(("class", "id", "class")) + f'="{rng.choice(names.split())}{rng.choice(["", "", "-1", " wide", " box"])}"'
 
-    def content() -> str:
-        out = [f"<h1>{words(2, 10).capitalize()}</h1>"] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(1, 12)):
+    def content(most: int = 12) -> str:
+        out = [f"<h1>{words(2, 10).capitalize()}</h1>"] if rng.random() < (0.85 if most > 3 else 0.3) else []
+        for _ in range(rng.randint(1, most)):
             kind = rng.random()
             if kind < 0.72:
                 inner = sentence(1, 3) if rng.random() < 0.15 else prose()
@@ -317,13 +330,21 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
             elif kind < 0.9:
                 out.append(f"<blockquote><p>{prose(1, 3)}</p></blockquote>")
             elif kind < 0.92:
-                out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(3)) + "</table>")
+                heads = f"<tr><th>{words(1, 3)}</th><th>{words(1, 3)}</th></tr>" if rng.random() < 0.5 else ""
+                side = "th" if rng.random() < 0.4 else "td"
+                inner = heads + "".join(f"<tr><{side}>{words(1, 3)}</{side}><td>{words(1, 3)}</td></tr>" for _ in range(3))
+                inner = f"<caption>{words(1, 5)}</caption>{inner}" if rng.random() < 0.3 else inner
+                out.append("<table>" + (f"<tbody>{inner}</tbody>" if rng.random() < 0.3 else inner) + "</table>")
             elif kind < 0.95:
                 out.append(f"<pre>{words(5, 20)}</pre>")
             else:
                 out.append(f'<div {named("ad ads advert sponsor promo ad-slot")} {MARK}="0">{prose(1, 2)}</div>')
         return "".join(out)
 
+    def loose() -> str:
+        """Text that stands in its element without blocks of its own."""
+        return "<br><br>".join(prose(2, 8) for _ in range(rng.randint(1, 5)))
+
     def off(tag: str, attributes: str, inner: str) -> str:
         return f'<{tag} {attributes} {MARK}="0">{inner}</{tag}>'
 
@@ -334,6 +355,8 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
             before.insert(0, off("header", named("header masthead top"), f"<h2>{words(1, 4)}</h2><p>{sentence()}</p>" if rng.random() < 0.5 else words(1, 5)))
         if rng.random() < 0.35:
             before.append(off("div", named("cookie-notice consent banner newsletter popup gdpr"), f"<p>{prose(1, 3)}</p>" if rng.random() < 0.5 else prose(1, 2)))
+        if rng.random() < 0.15:
+            before.append(off("noscript", "", sentence(4, 12)))
         if rng.random() < 0.5:
             before.append(off("div", named("ad ads advert sponsor promo"), prose(1, 2)))
         after = []
@@ -349,9 +372,19 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
             after.append(off(rng.choice(("footer", "footer", "div")), named("footer copyright legal page-footer"), foot))
         if rng.random() < 0.25:
             rng.shuffle(before)
+        if rng.random() < 0.2:  # little but the article
+            tag = rng.choice(("article", "article", "main", "div", "body"))
+            inner = loose() if tag == "body" or rng.random() < 0.2 else content(3)
+            most = f'<{tag} {MARK}="1">{inner}</{tag}>'
+            if rng.random() < 0.4:
+                most = "".join(before[:1]) + most if tag != "body" else most.replace(">", ">" + "".join(before[:1]), 1)
+            return most if rng.random() < 0.4 or tag == "body" else f"<html><head><title>{words(1, 5)}</title></head><body>{most}{''.join(after[-1:])}</body></html>"
+        if rng.random() < 0.14:
+            inner = loose() if rng.random() < 0.7 else f"{loose()}{content()}"
+            return f'<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body {MARK}="1">{"".join(before)}{inner}{"".join(after)}</body></html>'
         shell = rng.choice(("article", "article", "article", "main", "section", "div", "div", "div", "td"))
         extra = named("content post entry article-body story main-text") if shell in ("section", "div", "td") and rng.random() < 0.8 else (named("post article entry") if rng.random() < 0.3 else "")
-        body = f'<{shell} {extra} {MARK}="1">{content()}'
+        body = f'<{shell} {extra} {MARK}="1">{loose() if rng.random() < 0.08 else content()}'
         if rng.random() < 0.15:
             body += off("div", named("share social tags author-box byline"), f"<p>{sentence(2, 6)}</p>")
         body += f"</{shell}>"
@@ -374,8 +407,9 @@ def extract(pages: DataFrame, model: ContentModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points), and confidence: the least content marginal among the blocks taken.
 
     A null or empty html has empty text. White space inside a block is one space, blocks follow in page
-    order, one to a line. Repeated rows are read each for itself; null ids and urls stay null; other
-    columns are ignored; an empty table gives no rows.
+    order, one to a line. A very long page is read whole, as one tree. A block whose marginal is exactly
+    one half is taken. Repeated rows are read each for itself; null ids and urls stay null; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     fitted = model or default_model()
 

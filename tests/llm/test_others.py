@@ -263,6 +263,21 @@ def test_extract(spark, model):
     assert ht.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><table><tr><th>a</th><td>1</td></tr></table></article>", "a\n1"),
+        ("<body>Loose text that stands here, in the body, with two sentences. And more.</body>", "Loose text that stands here, in the body, with two sentences. And more."),
+        ('<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav>Loose text here, in the body. It has sentences.<br><br>Another part.<footer>&copy; X</footer></body></html>', "Loose text here, in the body. It has sentences. Another part."),
+        ("<html><head><title>T</title><article><p>An article after an open head. It has text.</p></article>", "An article after an open head. It has text."),
+        ("<html><head><meta charset=utf-8><title>T</title>Words after an open head, right in the page. They count.", "Words after an open head, right in the page. They count."),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as known.</p></article>", "Energy is E=mc2 as known."),
+    ],
+)
+def test_text_of_unusual_pages(model, page, want):
+    assert model.extract([page])[0][0] == want
+
+
 # Licences.
 
 
