@@ -226,8 +226,8 @@ class Scanner:
         self.notices = _tree((n, n) for n in NOTICES) if named else {}
         self.named = _tree((k, n) for k, v in named.items() for n in v)
         #: Each sentence's longest word: a text with none of them, and no notice, has no known sentence.
-        longest = {max(words_of(x), key=len) for x in sentences.values()} | {words_of(n)[0] for n in NOTICES if named}
-        self.anchor = re.compile("|".join(sorted(longest | {"licence", "SPDX"})), re.I)
+        longest = {max(words_of(x), key=len) for x in sentences.values()} | {max(words_of(n), key=len) for n in NOTICES if named}
+        self.anchors = sorted({w[:-1] if w.endswith("e") else w for w in longest} | {"licenc", "spdx"})
 
     def _walk(self, root: dict, words: list, i: int) -> list[tuple[str, int]]:
         """The names that end in the tree on the way from word i, each with its last word."""
@@ -250,7 +250,8 @@ class Scanner:
         ends. A notice begins anywhere, unless "not" stands before it, and ends with a licence's name that
         punctuation, "and" or "or" follows. Of several that begin together the longest counts.
         """
-        if not text or not self.anchor.search(text):
+        low = (text or "").lower()
+        if not any(a in low for a in self.anchors):
             return []
         spdx = {m.start(): (f"={' '.join(m[1].split())}", m.start(), m.end(1)) for m in _SPDX.finditer(text)}
         words = [(_SAME.get(w := m[0].lower(), w), m.start(), m.end()) for m in _WORD.finditer(text)]
