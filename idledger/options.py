@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from .functions.policies import is_power_of_two, load_limit, used_slots_threshold
+from .functions.policies import bloom_budget_bits, bloom_desired_bits, bloom_target_bits, is_power_of_two, load_limit, queue_depth_threshold, round_down_power_of_two, used_slots_threshold
+from .sources.telemetry import bloom_budget
 
 MAX_BATCH = 128
 MAX_PATH = 32_767
+LEAST_BLOOM_BITS = 1024
+#: Settings that tune() may change on an open store.
+LIVE = frozenset("""max_walk_entries bloom_checkpoint_interval bloom_checkpoint_max_bytes bloom_persist_mode cross_generation_check
+proactive_rollover_load_factor_percent proactive_rollover_queue_watermark_percent proactive_rollover_aggregate_probe_failures_threshold
+slot_scrubber_samples_per_tick slot_scrubber_interval_ms max_rollover_retries""".split())
 
 
 def _require(ok: bool, name: str, rule: str) -> None:
@@ -60,6 +66,23 @@ class HistoryOptions:
         _require(1 <= self.slot_scrubber_samples_per_tick <= 100_000, "slot_scrubber_samples_per_tick", "1 to 100,000")
         _require(250 <= self.slot_scrubber_interval_ms <= 86_400_000, "slot_scrubber_interval_ms", "250 to 86,400,000")
 
+    @property
+    def load_limit(self) -> int:
+        """Entries that a shard of a generation takes; more are counted as failures."""
+        return load_limit(self.slots_per_shard, self.max_load_factor_percent)
+
+    @property
+    def queue_threshold(self) -> int:
+        """Rows of one shard in one batch at which the next batch opens a generation; 0: never."""
+        return queue_depth_threshold(self.queue_capacity_per_shard, self.proactive_rollover_queue_watermark_percent)
+
+    @property
+    def bloom_bits(self) -> int:
+        """Bits of one shard's filter: what the entries ask for, within the memory budget, a power of two."""
+        target = bloom_target_bits(self.slots_per_shard, self.max_load_factor_percent, self.bloom_target_bits_per_entry)
+        budget = bloom_budget_bits(bloom_budget(self.bloom_memory_fraction, self.bloom_memory_budget_bytes), self.shard_count, self.max_retained_generations)
+        return round_down_power_of_two(bloom_desired_bits(target, budget, LEAST_BLOOM_BITS))
+
     @property
     def rollover_threshold(self) -> int:
         """Used slots of one shard at which the next batch opens a generation."""

@@ -14,15 +14,18 @@ from ..operators.history import DUPLICATE, INSERTED, KEY, keyed
 from ..store import HistoryStore
 
 
-def ingest(stream: DataFrame, store: HistoryStore, checkpoint: str, *, name: str = "ingest", available_now: bool = False, interval: str | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, store: HistoryStore, checkpoint: str, *, name: str = "ingest", available_now: bool = False, interval: str | None = None, scrub: bool = False) -> StreamingQuery:
     """Add every micro-batch of a stream (message_id, server_id, seq) to a store.
 
     A micro-batch is committed under its number, so one that is run again after a failure changes
-    nothing. Rollover happens between micro-batches. The source's own limits hold back the stream.
+    nothing. Rollover happens between micro-batches. The source's own limits hold back the stream. With
+    `scrub`, a sample of the store is checked between micro-batches as often as the store's options say.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
         store.add_batch(batch, batch_id=f"{name}-{number}")
+        if scrub:
+            store.scrub_if_due()
 
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(commit)
     if available_now:
