@@ -64,8 +64,12 @@ def shard_of(lo: Column, shards: int) -> Column:
     return base.cast("int")
 
 
+#: The code points that count as white space in identifiers.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.btrim(text, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  　")) == "")
+    return text.isNull() | (F.btrim(text, F.lit(WHITE_SPACE)) == "")
 
 
 #: Fixed value: the accepted forms of a server identifier.

@@ -13,14 +13,27 @@ def bounded(column: str) -> F.Column:
     return F.greatest(F.lit(float(LEAST_NS)), F.least(F.lit(float(MOST_NS)), F.col(column)))
 
 
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the least value that so large a share of its rows does not exceed, and the maximum.
+
+    Equal values are counted before the shuffle, and a group is read in order with a running sum, which
+    spills: no group has to fit in memory.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.max(value).cast("double").alias("max"))
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).join(totals, by)
+    picks = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p).cast("decimal(9,6)") * F.col("total")), F.col(value))).cast("double").alias(k) for k, p in shares.items()]
+    return placed.groupBy(*by).agg(*picks, F.first("max").alias("max"))
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, *, exact: bool = True) -> DataFrame:
     """p50, p95, p99 and the maximum of a value by group: exact, or within a thousandth by a mergeable sketch."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     if exact:
-        picks = [F.expr(f"percentile_disc({p}) within group (order by {value})") for p in (0.5, 0.95, 0.99)]
-    else:
-        picks = [F.percentile_approx(value, p, 10_000) for p in (0.5, 0.95, 0.99)]
-    names = ("p50", "p95", "p99")
-    return rows.groupBy(*by).agg(*(x.cast("double").alias(n) for x, n in zip(picks, names, strict=True)), F.max(value).cast("double").alias("max"))
+        return exact_percentiles(rows, by, value, shares)
+    picks = [F.percentile_approx(value, p, 10_000).cast("double").alias(k) for k, p in shares.items()]
+    return rows.groupBy(*by).agg(*picks, F.max(value).cast("double").alias("max"))
 
 
 def deltas(rows: DataFrame, by: list[str], counter: str, order: str) -> DataFrame:
@@ -40,10 +53,7 @@ def head_and_tail(rows: DataFrame, order: str, head: int = 12, last: int = 20) -
 
 def warmup_timeline(rows: DataFrame, batch: str, value: str, elapsed: str, slo: float) -> DataFrame:
     """p50 and p99 of each batch of lookups, when it ended, and whether it is the first within the objective."""
-    per = rows.groupBy(batch).agg(
-        F.expr(f"percentile_disc(0.5) within group (order by {value})").cast("double").alias("p50"),
-        F.expr(f"percentile_disc(0.99) within group (order by {value})").cast("double").alias("p99"),
-        F.max(elapsed).alias("elapsed_ms"),
-    )
+    spread = exact_percentiles(rows, [batch], value, {"p50": 0.5, "p99": 0.99}).drop("max")
+    per = spread.join(rows.groupBy(batch).agg(F.max(elapsed).alias("elapsed_ms")), batch).select(batch, "p50", "p99", "elapsed_ms")
     steady = per.where(F.col("p99") <= slo).agg(F.min(batch)).first()[0]
     return per.withColumn("first_steady", F.coalesce(F.col(batch) == F.lit(steady), F.lit(False)))

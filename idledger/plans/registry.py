@@ -507,11 +507,6 @@ def _bloom(spark, d):
     return rows, bloom.build(rows, BLOOM_BITS)
 
 
-@query()
-def bloom_words(spark, d):
-    return _bloom(spark, d)[1]
-
-
 @query("SELECT count(DISTINCT md5(text)) AS keys, 0::BIGINT AS missed FROM documents")
 def bloom_no_false_negative(spark, d):
     rows, words = _bloom(spark, d)
@@ -521,3 +516,6 @@ def bloom_no_false_negative(spark, d):
 @query(f"SELECT hash_hi, hash_lo, count(*) AS copies FROM ({E}) GROUP BY 1, 2 HAVING count(*) > 1")
 def audit_duplicate_keys(spark, d):
     return history.repeated_keys(inputs.events(spark, d))
+
+
+from . import stored  # noqa: E402, F401  registers more queries

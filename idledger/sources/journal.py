@@ -146,6 +146,59 @@ class Sidecar:
             return Sidecar.from_bytes(f.read())
 
 
+def _put(spark_path: str, data: bytes) -> None:
+    """Write a file of a shared folder under this attempt's own name, then rename it."""
+    import uuid
+
+    from pyarrow import fs
+
+    path = spark_path if ":/" in spark_path else f"file://{spark_path}"
+    where, base = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    folder, name = base.rsplit("/", 1)
+    where.create_dir(folder, recursive=True)
+    own = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(own) as out:
+        out.write(data)
+    where.move(own, base)
+
+
+def write_sidecars(words: DataFrame, folder: str, bit_count: int, hash_count: int = 7) -> DataFrame:
+    """Words (shard_id, word_idx, word) as a sidecar file per shard, written by the executors; a row per file when it is run.
+
+    A shard's words are at most bit_count / 64 and make one file in memory; absent words are zero.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        shard, every = int(part["shard_id"].iloc[0]), np.zeros(bit_count // 64, np.int64)
+        every[part["word_idx"].to_numpy()] = part["word"].to_numpy(np.int64)
+        _put(f"{folder}/shard-{shard:04d}.blm", Sidecar(tuple(every.view(np.uint64).tolist()), bit_count, hash_count).to_bytes())
+        return pd.DataFrame({"shard_id": [shard], "words": [int((every != 0).sum())]})
+
+    return words.select("shard_id", "word_idx", "word").groupBy("shard_id").applyInPandas(write, "shard_id int, words long")
+
+
+def write_expired(keys: DataFrame, folder: str) -> DataFrame:
+    """Tombstones (hash_hi, hash_lo) as a file per partition, written by the executors; a row per file when it is run."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, found = None, []
+        for batch in batches:
+            if len(batch):
+                part = int(batch["part"].iloc[0])
+                found += zip(*(batch[c].to_numpy(np.int64).view(np.uint64).tolist() for c in ("hash_hi", "hash_lo")), strict=True)
+        if part is not None:
+            _put(f"{folder}/part-{part:06d}.exp", expired_to_bytes(found))
+            yield pd.DataFrame({"part": [part], "keys": [len(found)]})
+
+    return keys.select("hash_hi", "hash_lo", F.spark_partition_id().alias("part")).mapInPandas(write, "part int, keys long")
+
+
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """(path, word_idx, word) of every sidecar file under a path. A file that does not check out is left out, with trusted false."""
     from collections.abc import Iterator
