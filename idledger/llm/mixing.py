@@ -119,8 +119,13 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", *, weights: di
     expected shares, flattened. budget is the expected number of tokens after mixing; by default the
     most that the weights allow without repeating a document on average. copies is the rate rounded up
     or down at random, by a number that depends on doc_id and text alone, so that it equals the rate on
-    average. Null and empty texts have no tokens and rate one. Repeated rows have equal rates and
-    copies each; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
+    average. Null and empty texts have no tokens and rate one; a very long text counts with all its words.
+    Of equally likely domains the first by name is given. Repeated rows have equal rates and copies each;
+    a null doc_id stays null; other columns, whatever their names, are ignored; an empty table gives no rows.
+
+    The default budget hangs on the domain that is rarest against its target: with targets of shares to
+    the power 0.7, the share of tokens kept is the rarest domain's share to the power 0.3, over the sum of
+    the raised shares. A larger budget keeps more and repeats documents of the rare domains.
     """
     model = train_domains(docs, labels, domain, examples=examples)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -141,6 +146,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", *, weights: di
     if budget is None:
         budget = min((h / g for h, g in zip(held, goal, strict=True) if g > 0), default=0.0)
     fitted = fit_rates(rows, n, [g * budget for g in goal])
+    fitted = fitted.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("rate")))
     whole = F.floor("rate")
     up = unit_interval(F.lit("mix"), "doc_id", "text_key") < F.col("rate") - whole
     best = F.array_position("p", F.array_max("p")).cast("int") - 1

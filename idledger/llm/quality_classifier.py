@@ -85,7 +85,8 @@ def resample(docs: DataFrame, labels: DataFrame, *, fraction: float | None = Non
     documents. kept marks the `fraction` of rows with the largest keys (by default the labelled share of
     quality 1, or all without labels), and every row that ties with the last of them. The noise depends
     on doc_id and text alone, so repeated rows stay or go together. Null and empty texts have weight
-    zero; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
+    zero; a very long text counts with all its words. A null doc_id stays null; other columns, whatever
+    their names, are ignored; an empty table gives no rows.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     good, every = marked.agg(F.sum((F.col("quality") > 0).cast("int")), F.count("*")).first()

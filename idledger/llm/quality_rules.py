@@ -164,8 +164,9 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...], *, rounds: int = 40, toler
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold: float = 0.5) -> DataFrame:
     """A row per document: its counts, base_failed, quality (the posterior probability) and kept.
 
-    Null and empty texts have no words and fail the base. Repeated rows are judged alike and each
-    counts; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no words and fail the base; a very long text is read whole. A posterior equal
+    to the threshold keeps. Repeated rows are judged alike and each counts; a null doc_id stays null; other
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     names = [f"v{j}" for j in range(len(rules))]
     stats = text_stats(docs).withColumns({n: r.vote() for n, r in zip(names, rules, strict=True)})

@@ -61,43 +61,18 @@ def test_toxic_words_are_learnt(spark, rows):
 
 
 def test_neighbours_are_the_nearest_by_brute_force(spark, rows, monkeypatch):
-    """Words, weights, cosines, votes and curve worked out anew, in plain Python, over all words of all examples."""
-    import math
-    import re
-    from collections import Counter
+    """Words, weights, cosines, votes, curve and score worked out anew, in plain Python, over all words of all examples."""
+    import plain
 
     monkeypatch.setattr(toxicity, "TOGETHER", 7)
     rng = random.Random(4)
-    texts = [r[1] for r in rows[:60]] + [" ".join(rng.choice([r[1] for r in rows[:60]]).split()[:40]) for _ in range(140)]
+    texts = [r[1] for r in rows[:60]] + [" ".join(rng.choice([r[1] for r in rows[:60]]).split()[:40]) for _ in range(140)] + ["", None]
     marks = {i: int(rng.random() < 0.2) for i in range(0, 200, 2)}
     docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
-    examples = {}
-    for i, t in sorted(marks.items()):
-        if zlib.crc32(str(i).encode()) % 5:
-            examples.setdefault(texts[i], [i, 0])[1] |= t
-    counts = {i: (t, Counter(re.findall(r"\w+", text.lower()))) for text, (i, t) in examples.items()}
-    n, bads = len(counts), sum(t for t, _ in counts.values())
-    df = Counter(w for _, c in counts.values() for w in c)
-    bad = Counter(w for t, c in counts.values() if t for w in c)
-
-    def idf(w):
-        cells = [(bad[w], df[w], bads), (df[w] - bad[w], df[w], n - bads), (bads - bad[w], n - df[w], bads), (n - bads - df[w] + bad[w], n - df[w], n - bads)]
-        e = sum(2 * k * math.log(k * n / (r * c)) for k, r, c in cells if k)
-        return math.log((n + 1) / df[w]) * (0.03 + 0.97 * e * e / (e * e + 625))
-
-    weights = {w: idf(w) for w in df}
-
-    def unit(c):
-        v = {w: (1 + math.log(k)) * weights[w] for w, k in c.items() if w in weights}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {w: x / norm for w, x in v.items()}
-
-    units = {i: unit(c) for i, (_, c) in counts.items()}
+    want = plain.toxic_scores(dict(enumerate(texts)), marks)
     for r in toxicity.toxicity(docs, labels).collect():
-        own = unit(Counter(re.findall(r"\w+", texts[r["doc_id"]].lower())))
-        cosine = {i: sum(x * v[w] for w, x in own.items() if w in v) for i, v in units.items()}
-        best = sorted((i for i in cosine if cosine[i] > 0), key=lambda i: (-round(cosine[i], 12), i))[:15]
-        assert np.allclose(r["cosines"], [cosine[i] for i in best], atol=1e-9)
+        score, best, cosine = want[r["doc_id"]]
+        assert np.allclose(r["cosines"], [cosine[i] for i in best], atol=1e-9) and np.isclose(r["score"], score, atol=1e-6)
         assert [i for i in r["neighbours"] if cosine[i] > r["cosines"][-1] + 1e-9] == [i for i in best if cosine[i] > r["cosines"][-1] + 1e-9]
 
 
