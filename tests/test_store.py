@@ -123,3 +123,84 @@ def test_streaming(spark, tmp_path):
     q = row_statuses(stream()).writeStream.format("memory").queryName("st").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["status"]: r["n"] for r in spark.sql("select status, count(*) n from st group by 1").collect()} == {"inserted": 12, "duplicate": 18}
+
+
+def test_words_rule_out_and_are_repaired(spark, tmp_path):
+    options = HistoryOptions(**SMALL, bloom_persist_mode="durability", bloom_memory_budget_bytes=1 << 16)
+    store = HistoryStore(spark, str(tmp_path / "h"), options)
+    store.add_batch(batch(spark, [(f"a{i}", SERVER) for i in range(50)]), batch_id="a")
+    got = store.add_batch(batch(spark, [(f"a{i}", SERVER) for i in range(40, 60)], 100), batch_id="b")
+    assert statuses(got) == ["duplicate"] * 10 + ["inserted"] * 10
+    keys = history.keyed(spark.createDataFrame([(f"n{i}",) for i in range(200)], "message_id string"), "message_id")
+    assert store._candidates(keys)[1].count() < 100  # most unknown ids are ruled out
+    assert store.verify() == [] and store.scrub(20) == {"sampled": 20, "repeated": 0, "misplaced": 0} and store.scrub_log()["missing"] == 0
+    broken = store.manifest.bloom["1"]
+    store._read([broken["path"]], "generation int, shard_id int, word_idx int, word long").limit(1).write.parquet(f"{store.catalog.root}/bloom/broken")
+    broken["path"] = "bloom/broken"
+    store.scrub(20)
+    assert store.scrub_log()["missing"] > 0 and store.lookup(spark.createDataFrame([("a0",), ("zz",)], "message_id string")).where("found").count() == 1
+    store.close()
+    with pytest.raises(ValueError, match="closed"):
+        store.entries()
+
+
+def test_rollover_by_queue_and_failures_and_live_settings(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(shard_count=1, slots_per_shard=16, proactive_rollover_load_factor_percent=0, queue_capacity_per_shard=100))
+    store.add_batch(batch(spark, [(f"a{i}", SERVER) for i in range(10)]), batch_id="a")
+    assert store.manifest.active_generation == 1 and store.failures().count() == 0
+    store.tune(proactive_rollover_queue_watermark_percent=5)
+    with pytest.raises(ValueError, match="^shard_count"):
+        store.tune(shard_count=2)
+    with pytest.raises(ValueError, match="^bloom_persist_mode"):
+        store.tune(bloom_persist_mode="never")
+    store.add_batch(batch(spark, [(f"b{i}", SERVER) for i in range(5)], 20), batch_id="b")
+    assert store.manifest.active_generation == 2
+    store.tune(proactive_rollover_queue_watermark_percent=0, proactive_rollover_aggregate_probe_failures_threshold=3, proactive_rollover_load_factor_percent=0)
+    store.add_batch(batch(spark, [(f"c{i}", SERVER) for i in range(11)], 40), batch_id="c")
+    assert store.manifest.active_generation == 2
+    store.add_batch(batch(spark, [(f"d{i}", SERVER) for i in range(4)], 60), batch_id="d")
+    assert store.manifest.active_generation == 3
+
+
+def test_tombstones_are_appended_and_merged(spark, tmp_path, monkeypatch):
+    import idledger.store as module
+
+    monkeypatch.setattr(module, "MOST_TOMBSTONES", 2)
+    store = HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(**SMALL))
+    for k in range(3):
+        assert store.expire_ids([f"e{k}", "e0"]) == (1 if k else 1)
+    assert len(store.manifest.expired) == 3
+    assert store.add("e1", SERVER) and store.contains("e1") and not store.contains("e0")
+    assert len(store.manifest.expired) == 1 and store.expired().count() == 2
+
+
+def test_older_manifests_are_read(spark, tmp_path):
+    import json
+
+    store = HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(**SMALL))
+    store.add("x", SERVER)
+    newest = sorted((tmp_path / "h" / "_manifests").glob("0*.json"))[-1]
+    found = json.loads(newest.read_text())
+    old = {k: v for k, v in found.items() if k in ("version", "shard_count", "slots_per_shard", "active_generation", "used", "batches", "journal_rows")} | {"expired": None}
+    newest.write_text(json.dumps(old))
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    again = HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(**SMALL))
+    assert again.contains("x") and again.manifest.expired == [] and again.add("y", SERVER)
+    newest.write_text(json.dumps(old | {"format": 99}))
+    for p in (newest.parent).glob("000000000002*"):
+        p.unlink()
+    with pytest.raises(ValueError, match="format"):
+        HistoryStore(spark, str(tmp_path / "h"), HistoryOptions(**SMALL))
+
+
+def test_many_commits(spark, tmp_path):
+    """A commit writes what it changed; every CHECKPOINT-th one everything; opening reads back to it."""
+    from idledger.catalog import Catalog, Manifest
+
+    catalog, m = Catalog(spark, str(tmp_path / "m")), Manifest()
+    for k in range(70):
+        m.batches[f"b{k}"] = {"generation": 1, "entries": None, "journal": None, "inserted": k}
+        m = catalog.commit(m, {f"b{k}"})
+    assert catalog.load() == m and len(m.batches) == 70
+    sizes = [p.stat().st_size for p in sorted((tmp_path / "m" / "_manifests").glob("0*.json"))]
+    assert max(sizes[i] for i in range(70) if (i + 1) % 32) < 1000
