@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, policies, workload
-from ..operators import bloom, generations, history
+from ..operators import bloom, generations, history, samples
 from ..options import HistoryOptions
 from ..shared import shared_path
 from ..sources import journal
@@ -231,6 +231,31 @@ def stream_ingest(spark, d):
     return store.entries().select(*history.KEY)
 
 
+@query(f"SELECT count(*) FILTER (WHERE rn = 1) AS inserted, count(*) FILTER (WHERE rn > 1) AS duplicate, (SELECT count(*) FROM ({E}) WHERE seq % 11 = 10 OR seq % 7 = 6) AS invalid FROM ({FIRST} ({VALID}))")
+def stream_store_statuses(spark, d):
+    """The status of every row of a stream that a store takes in, a part for each micro-batch."""
+    from ..streaming.ingest import ingest
+
+    folder, schema = _source(spark, d)
+    out = shared_path(spark, "stream-statuses")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    ingest(stream, _store(spark), shared_path(spark, "stream-checkpoint"), available_now=True, statuses=out).awaitTermination()
+    of = lambda status: F.count_if(F.col("status") == status).alias(status)
+    return spark.read.parquet(out).agg(of("inserted"), of("duplicate"), of("invalid"))
+
+
+@query("SELECT true AS ids_are_close, count(DISTINCT event_type) AS groups, 0 AS far_percentiles FROM events")
+def sketches_are_close(spark, d):
+    """Distinct ids within 5 % of the exact number, and sketched percentiles within 1.2 % of their rank."""
+    lines = inputs.lines(spark, d)
+    near, exact = lines.agg(F.approx_count_distinct(F.struct(*history.KEY), 0.01), F.count_distinct(*history.KEY)).first()
+    rows = inputs.read(spark, d, "events").select("event_type", samples.bounded("value").alias("value"))
+    sketch = samples.percentiles(rows, ["event_type"], "value", exact=False)
+    below = rows.join(sketch, "event_type").groupBy("event_type").agg(*(F.avg((F.col("value") <= F.col(p)).cast("double")).alias(p) for p in ("p50", "p95", "p99")))
+    far = sum((F.abs(F.col(p) - x) > 0.002 + 1.0 / 100).cast("int") for p, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    return below.agg(F.lit(abs(near - exact) <= 0.05 * exact).alias("ids_are_close"), F.count("*").alias("groups"), F.sum(far).cast("int").alias("far_percentiles"))
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     out = shared_path(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start()

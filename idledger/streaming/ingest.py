@@ -14,16 +14,20 @@ from ..operators.history import DUPLICATE, INSERTED, KEY, keyed
 from ..store import HistoryStore
 
 
-def ingest(stream: DataFrame, store: HistoryStore, checkpoint: str, *, name: str = "ingest", available_now: bool = False, interval: str | None = None, scrub: bool = False) -> StreamingQuery:
+def ingest(stream: DataFrame, store: HistoryStore, checkpoint: str, *, name: str = "ingest", available_now: bool = False, interval: str | None = None, scrub: bool = False, statuses: str | None = None) -> StreamingQuery:
     """Add every micro-batch of a stream (message_id, server_id, seq) to a store.
 
     A micro-batch is committed under its number, so one that is run again after a failure changes
     nothing. Rollover happens between micro-batches. The source's own limits hold back the stream. With
     `scrub`, a sample of the store is checked between micro-batches as often as the store's options say.
+    `statuses` is a folder for the status of every row, a part for each micro-batch, which a repeated one
+    replaces: exact, with set operations alone, where row_statuses() calls Python for every key.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        store.add_batch(batch, batch_id=f"{name}-{number}")
+        added = store.add_batch(batch, batch_id=f"{name}-{number}")
+        if statuses:
+            added.select("seq", "message_id", "status").write.mode("overwrite").parquet(f"{statuses}/batch={number}")
         if scrub:
             store.scrub_if_due()
 
