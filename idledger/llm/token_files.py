@@ -30,7 +30,7 @@ TEXTS = 4000
 BLOCK = 4096
 MAGIC = b"IDLTOK2\0"
 #: Bytes of text that go to one file on average; a file is written and read by one task in memory.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 def width(vocabulary_size: int) -> int:
