@@ -240,14 +240,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, degree: int =
     asking = materialised(asked.join(points.select("v", "point"), "v").select("query_id", F.col("point").alias("q"), "v"))
 
     def parted(df: DataFrame, key: str, size: int, least: int, name: str) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
-        """df with a part number, each part of one length and about `size` rows; (length, part) of all parts; how many by length."""
+        """df with a part number, each part of one length and about `size` rows; the range of parts of each length; how many there are."""
         counts = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row per length
         sizes = [(r["d"], max(least, -(-r["n"] // size))) for r in counts]
         if not sizes:
             return df, None, {}
         table = spark.createDataFrame([(d, n, sum(m for _, m in sizes[:i])) for i, (d, n) in enumerate(sizes)], "d int, parts int, base int")
-        placed = df.withColumn("d", F.size("v")).join(table, "d").withColumn(name, (F.col("base") + F.pmod(F.xxhash64(key), F.col("parts"))).cast("int"))
-        return placed.drop("d", "parts", "base"), table.select("d", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias(name)), dict(sizes)
+        placed = df.withColumn("d", F.size("v")).join(F.broadcast(table), "d").withColumn(name, (F.col("base") + F.pmod(F.xxhash64(key), F.col("parts"))).cast("int"))
+        return placed.drop("d", "parts", "base"), table.select("d", F.col("base").alias(f"{name}_from"), (F.col("base") + F.col("parts") - 1).alias(f"{name}_to")), dict(sizes)
 
     sharded, shards, by_length = parted(points, "v", shard_rows, SHARDS, "shard")
     blocked, blocks, asked_by_length = parted(asking.select("q", "v").dropDuplicates(["q"]), "q", query_block, 1, "block")
@@ -269,7 +269,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, degree: int =
 
     stored = materialised(sharded.select("shard", "point", "v").groupBy("shard").applyInPandas(link, "shard int"))
     kept = materialised(blocked.select("block", "q", "v").groupBy("block").applyInPandas(keep, "block int"))
-    pairs = shards.join(stored, "shard").join(blocks.join(kept, "block"), "d").select("shard", "block")
+    every = shards.join(F.broadcast(blocks), "d")  # a row per length
+    pairs = every.select("block_from", "block_to", F.explode(F.sequence("shard_from", "shard_to")).alias("shard")).join(stored, "shard")
+    pairs = pairs.select("shard", F.explode(F.sequence("block_from", "block_to")).alias("block")).join(kept, "block")
     work = sum(n * by_length.get(d, 0) for d, n in asked_by_length.items())
     tasks = pairs.repartitionByRange(max(spark.sparkContext.defaultParallelism, min(work, 10_000)), "shard", "block").sortWithinPartitions("shard", "block")
 
