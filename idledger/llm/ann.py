@@ -292,7 +292,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, degree: int =
                     yield pd.DataFrame({"q": q[who], "point": names[hit], "score": np.einsum("ij,ij->i", exact[hit], wanted[who])})
 
     found = tasks.mapInPandas(ask, "q long, point long, score double")
-    listed = found.join(points.select("point", "ids"), "point").select("q", "score", F.explode("ids").alias("vec_id"))
+    # The planner takes what the search finds for no larger than the table of its tasks, and would broadcast it.
+    listed = found.hint("merge").join(points.select("point", "ids"), "point").select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = listed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))

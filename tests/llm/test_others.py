@@ -341,3 +341,13 @@ def test_licence_rules(docs, rows, no_docs):
     got = scan_licences(docs).collect()
     assert len(got) == len(rows) and not any(r["n_matches"] for r in got)
     assert scan_licences(no_docs).count() == 0
+
+
+def test_what_is_found_is_not_broadcast(spark):
+    """It grows with queries times shards, and the driver collects what is broadcast."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 5 == 0, k=3)
+    assert len(found.collect()) == 240
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # as it ran
+    assert "MapInPandas ask" in plan and "SortMergeJoin [point#" in plan and "BroadcastHashJoin [point#" not in plan
