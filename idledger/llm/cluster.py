@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import pickle
 import uuid
 from contextlib import contextmanager
 from typing import Any
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialised, shared_dir, shared_path
+from ..shared import materialised, release, shared_dir, shared_path
 
-__all__ = ["SetAside", "WORD_SPACE", "fetch", "load", "materialised", "numbered", "read", "renumbered", "share", "shared_dir", "shared_path", "store", "unit_interval"]
+__all__ = ["SetAside", "WORD_SPACE", "fetch", "give_back", "kept_by_worker", "load", "make_room", "materialised", "numbered", "read", "release", "renumbered", "share", "shared_dir", "shared_path", "store", "unit_interval"]
 
 #: Code points that separate words, as a literal set for trim/translate.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -30,7 +33,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_FETCHED: dict[str, Any] = {}
+#: What a worker process keeps between tasks.
+_KEPT: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A memory that outlives tasks, until another operator needs the room."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def make_room(besides: dict | None = None) -> None:
+    """Empty what the worker keeps for other operators, and give the memory back to the system: the executor's limit holds for all its workers."""
+    others = [k for k in _KEPT if k and k is not besides]
+    for k in others:
+        k.clear()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_FETCHED: dict[str, Any] = kept_by_worker()
 
 
 @contextmanager
@@ -72,7 +103,7 @@ def share(path: str, value: Any) -> None:
 def fetch(path: str) -> Any:
     """What share() put there; a worker keeps the last one it read."""
     if path not in _FETCHED:
-        _FETCHED.clear()
+        make_room()
         where, base = _file_system(path)
         with where.open_input_stream(base) as f, zstandard.ZstdDecompressor().stream_reader(f) as packed:
             _FETCHED[path] = pickle.load(io.BufferedReader(packed, 1 << 20))

@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .cluster import kept_by_worker, make_room
+
 #: The part of a word that is looked up without its marks: letters whose NFC form and lower case are per letter.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w\\s'̀-￿]*)\\Z")
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = kept_by_worker()
 
 
 def default_vocabulary() -> str:
@@ -128,8 +130,9 @@ class WordEncoder:
 
 
 def encoder(path: str | None = None, remembered: int = 500_000) -> WordEncoder:
-    """The worker's encoder for this vocabulary; it outlives tasks."""
+    """The worker's encoder for this vocabulary; it outlives tasks until another operator needs the room."""
     key = (path or default_vocabulary(), remembered)
     if key not in _ENCODERS:
+        make_room(besides=_ENCODERS)
         _ENCODERS[key] = WordEncoder(*key)
     return _ENCODERS[key]

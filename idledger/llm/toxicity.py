@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import SetAside, fetch, materialised, share, shared_path
+from .cluster import SetAside, fetch, give_back, make_room, materialised, share, shared_path
 
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 EXAMPLES = 20_000
@@ -262,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
     known = materialised(known)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room()
         for batch in batches:
             got = [terms_of(t) for t in batch["text"]]
             names = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in batch["text"]]
@@ -270,19 +271,26 @@ def train(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, neigh
     place = shared_path(docs.sparkSession, "toxicity-model")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room()
         # Copies of a text are one example: else a copied text's own words look like signs of its label.
         first: dict[bytes, list] = {}
         for batch in batches:
             for name, doc_id, toxic, terms, counts in zip(batch["name"], batch["doc_id"].tolist(), batch["toxic"].tolist(), batch["terms"], batch["counts"], strict=True):
                 old = first.setdefault(name, [doc_id, 0, terms, counts])
                 old[:2] = min(old[0], doc_id), old[1] | int(toxic > 0)
+        batch = terms = counts = None
         kept = sorted(first.values(), key=lambda x: x[0])
-        model = ToxicityModel(
-            np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64),
-            np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32), neighbours,
-        )
+        parts = [np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), np.array([len(x[2]) // 8 for x in kept], np.int64)]
+        parts += [np.frombuffer(b"".join(x[2] for x in kept), np.uint64), np.frombuffer(b"".join(x[3] for x in kept), np.uint32)]
+        first = kept = old = None  # before the model takes its room
+        give_back()
+        model = ToxicityModel(*parts, neighbours)
+        parts = None
         share(place, model)
-        yield pd.DataFrame({"searched": [len(model.index.keys)]})
+        searched = len(model.index.keys)
+        model = None
+        give_back()
+        yield pd.DataFrame({"searched": [searched]})
 
     rows = known.mapInPandas(read, "doc_id long, toxic int, name binary, terms binary, counts binary").repartition(1)  # at most `examples` rows
     searched = rows.mapInPandas(build, "searched long").first()[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,9 @@ def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; later reads survive the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints that no DataFrame in use needs any more: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

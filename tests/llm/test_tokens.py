@@ -105,3 +105,17 @@ def test_token_digest(docs, rows, plain):
 
 def test_no_token_files(no_docs):
     assert tf.token_digest(no_docs).count() == 0
+
+
+def test_worker_keeps_one_operators_memory(tmp_path):
+    """Encoders and models of operators that are done give way: the executor's limit holds for all its workers."""
+    from idledger.llm import cluster, tokens
+
+    at = f"file://{tmp_path}/model"
+    cluster.share(at, [1, 2])
+    coder = tokens.encoder()
+    assert tokens.encoder() is coder and cluster.fetch(at) == [1, 2] and not tokens._ENCODERS
+    assert cluster.fetch(at) is cluster.fetch(at)
+    assert tokens.encoder() is not coder and not cluster._FETCHED and tokens.encoder().encode(["one two"])
+    cluster.make_room()
+    assert not tokens._ENCODERS
