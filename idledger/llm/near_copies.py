@@ -3,7 +3,8 @@
 Candidates come from prefix filtering: put the shingles of all sets in one order; two sets that are
 similar enough then share one of their first few. The order puts common shingles last, which decides
 how many candidates there are, never which pairs are found. Every candidate pair is held against the
-exact similarity, other than pairs that are linked already by others.
+exact similarity, other than pairs that are linked already by others. Before texts are moved for that, a parity sketch of each set, some bits
+for each word, rules out what cannot be similar.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialised, numbered, renumbered
+from .cluster import make_room, materialised, numbered, release, renumbered
 from .components import components
 from .simhash import SEED, keep_least
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts whose shingles are counted for the order, and the shingles that are known as common at most.
-ORDER_TEXTS, COMMON = 10_000, 100_000
+#: Texts whose shingles are counted for the order, one in ORDER_SHARE at least, and the shingles that are known as common at most.
+ORDER_TEXTS, ORDER_SHARE, COMMON = 10_000, 20, 100_000
+#: The least and most bits of a parity sketch.
+SKETCH = 64, 1 << 16
 #: Texts whose shingles are handed on at once.
 SLICE = 128
 #: Bits of a key that say whether its set can be a candidate; others with the same bits are read along and joined with nothing.
@@ -57,12 +60,33 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - _SLACK
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, by a power of two of half the set's size or more: whether an odd number of hashes has it."""
+    bits = min(SKETCH[1], max(SKETCH[0], 1 << max(0, (len(shingles) - 1) // 2).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """How many shingles at least are in one of two sets alone, by their sketches: each odd residue of the one takes one."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id; the set's key, size and sketch."""
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": np.fromiter((set_key(shingle_set(t, shingle)) for t in batch["text"]), np.int64, len(batch))})
+            rows = []
+            for text in batch["text"]:
+                own = shingle_set(text, shingle)
+                rows.append((set_key(own), len(own), parity_sketch(own)))
+            key, size, sketch = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": np.array(key, np.int64), "size": np.array(size, np.int32), "sketch": list(sketch)})
 
-    return renumbered(numbered(docs, "doc_id", text="string").mapInPandas(keyed, "doc_id long, no_id boolean, key long"))
+    return renumbered(numbered(docs, "doc_id", text="string").mapInPandas(keyed, "doc_id long, no_id boolean, key long, size int, sketch binary"))
 
 
 def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
@@ -73,7 +97,7 @@ def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
             for low in range(0, len(batch), SLICE):
                 yield pd.DataFrame({"token": np.concatenate([shingle_set(t, shingle) for t in batch["text"].iloc[low : low + SLICE]]).view(np.int64)})
 
-    parts = max(1, rows // ORDER_TEXTS)
+    parts = max(1, min(rows // ORDER_TEXTS, ORDER_SHARE))
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").distinct()
     found = some.mapInPandas(exploded, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
     top = found.orderBy(F.desc("n"), "token").limit(COMMON).collect()
@@ -213,8 +237,24 @@ def _texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInPandas(texts, "key long, packed binary").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, known: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs less those whose sketches show that they are not similar."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least = np.fromiter(map(_least_difference, batch["x"], batch["y"]), np.int64, len(batch))
+            total = batch["m"].to_numpy(np.int64) + batch["n"].to_numpy(np.int64)
+            yield batch.loc[least * (1 + similarity) <= (1 - similarity) * total + 2 * _SLACK, ["a", "b"]]
+
+    x, y = (sketches.select(F.col("key").alias(k), F.col("size").alias(n), F.col("sketch").alias(v)) for k, n, v in (("a", "m", "x"), ("b", "n", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInPandas(judge, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs whose texts are similar."""
+    likely = materialised(_likely(pairs, sketches, similarity))
+    release(docs.sparkSession)
+    known = _texts(docs, likely.select(F.explode(F.array("a", "b")).alias("key")), shingle)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -230,8 +270,10 @@ def _verified(pairs: DataFrame, known: DataFrame, similarity: float, shingle: in
             fit = [similar(set_of(a, x), set_of(b, y), similarity) for a, x, b, y in zip(batch["a"].tolist(), batch["x"], batch["b"].tolist(), batch["y"], strict=True)]
             yield batch.loc[np.array(fit, bool), ["a", "b"]]
 
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("packed").alias("y")), "b")
-    return materialised(both.mapInPandas(judge, "a long, b long"))
+    both = likely.join(known.select(F.col("key").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("packed").alias("y")), "b")
+    found = materialised(both.mapInPandas(judge, "a long, b long"))
+    release(docs.sparkSession)
+    return found
 
 
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -245,15 +287,18 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = materialised(_keys(texts, shingle))
+    sketches = keyed.select("key", "size", "sketch").dropDuplicates(["key"])
     common = _common(texts, keyed.count(), shingle)
+    release(docs.sparkSession)
     shared = materialised(_shared(_prefixes(texts, common, shingle, similarity), similarity))
-    known = materialised(_texts(texts, shared.select("key").distinct(), shingle))
+    release(docs.sparkSession)
     # First neighbours in the lists: large groups are linked by as many pairs as members, and only pairs across groups remain.
-    near = _verified(_pairs(shared.withColumn("label", F.col("key")), similarity, 1), known, similarity, shingle)
+    first = _pairs(shared.withColumn("label", F.col("key")), similarity, 1)
+    near = _verified(first, sketches, texts, similarity, shingle)
     labels = components(near).select(F.col("node").alias("key"), F.col("root").alias("label"))
     named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = _verified(_pairs(named.join(mixed, "token", "left_semi"), similarity), known, similarity, shingle)
+    rest = _verified(_pairs(named.join(mixed, "token", "left_semi"), similarity), sketches, texts, similarity, shingle)
     groups = components(near.unionByName(rest)).withColumnRenamed("node", "key")
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     member = first.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -66,3 +66,31 @@ def test_order_does_not_matter(spark, edited, monkeypatch):
 
 def test_nothing(no_docs):
     assert nc.near_copies(no_docs).count() == 0 and nc.drop_near_copies(no_docs).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = random.Random(5)
+    out = 0
+    for _ in range(3000):
+        n, m = rng.choice((1, 2, 7, 64, 130, 700, 3000)), rng.randint(0, 9)
+        both = [rng.getrandbits(64) for _ in range(n)]
+        a, b = ({*both, *(rng.getrandbits(64) for _ in range(rng.randint(0, max(1, n * m // 30))))} for _ in "ab")
+        x, y = (nc.np.array(sorted(s), nc.np.uint64) for s in (a, b))
+        least = nc._least_difference(nc.parity_sketch(x), nc.parity_sketch(y))
+        assert least <= len(a ^ b) and (least - len(a ^ b)) % 2 == 0
+        out += least * 1.8 > 0.2 * (len(a) + len(b)) + 1e-9
+    assert out > 300
+
+
+def test_texts_move_for_few_pairs(spark, monkeypatch):
+    """Texts that share one rare passage are candidates by the square of their number; their texts stay where they are."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + passage) for i in range(120)] + [(500, None), (501, "a b c d e f g"), (502, "a b c d e f g"), (None, "A b c d e f g")]
+    moved, texts = [], nc._texts
+    monkeypatch.setattr(nc, "_texts", lambda docs, wanted, shingle: moved.append(wanted.distinct().count()) or texts(docs, wanted, shingle))
+    monkeypatch.setattr(nc, "COMMON", 1)
+    got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(slow_groups(rows), key=repr)
+    assert sum(moved) <= 4
