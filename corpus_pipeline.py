@@ -29,7 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id: SimHash links, and an exact way
+    for what they miss, over five-word shingles, held against a Jaccard similarity of 0.8."""
     return drop_near_copies(docs)
 
 
