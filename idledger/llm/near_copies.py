@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word-shingle sets.
-
-Candidates come from prefix filtering: put the shingles of all sets in one order; two sets that are
-similar enough then share one of their first few. The order puts common shingles last, which decides
-how many candidates there are, never which pairs are found. Every candidate pair is held against the
-exact similarity, other than pairs that are linked already by others. Before texts are moved for that, a parity sketch of each set, some bits
+"""Near copies by SimHash links and exact Jaccard similarity of word-shingle sets.
+
+The first candidates are the links of the SimHash search by tiles (simhash.py), over fingerprints of the
+sets. Fingerprints of similar sets can differ in more bits than its radius, so an exact way follows for
+the rest: put the shingles of all sets in one order; two sets that are similar enough then share one of
+their first few. The order puts common shingles last, which decides how many candidates there are, never
+which pairs are found. Every candidate pair is held against the exact similarity, other than pairs that
+are linked already by others. Before texts are moved for that, a parity sketch of each set, some bits
 for each word, rules out what cannot be similar.
 """
 
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .cluster import make_room, materialised, numbered, release, renumbered
 from .components import components
-from .simhash import SEED, keep_least
+from .simhash import SEED, keep_least, majority, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits that fingerprints of SimHash candidates differ in at most.
+RADIUS = 3
 #: Texts whose shingles are counted for the order, one in ORDER_SHARE at least, and the shingles that are known as common at most.
 ORDER_TEXTS, ORDER_SHARE, COMMON = 10_000, 20, 100_000
 #: The least and most bits of a parity sketch.
@@ -74,7 +78,7 @@ def _least_difference(a: bytes, b: bytes) -> int:
 
 
 def _keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id; the set's key, size and sketch."""
+    """doc_id; the set's key, fingerprint, size and sketch."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make_room()
@@ -82,11 +86,21 @@ def _keys(docs: DataFrame, shingle: int) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 own = shingle_set(text, shingle)
-                rows.append((set_key(own), len(own), parity_sketch(own)))
-            key, size, sketch = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": np.array(key, np.int64), "size": np.array(size, np.int32), "sketch": list(sketch)})
+                rows.append((set_key(own), majority(own), len(own), parity_sketch(own)))
+            key, mark, size, sketch = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": np.array(key, np.int64), "mark": np.array(mark, np.uint64).view(np.int64), "size": np.array(size, np.int32), "sketch": list(sketch)})
+
+    return renumbered(numbered(docs, "doc_id", text="string").mapInPandas(keyed, "doc_id long, no_id boolean, key long, mark long, size int, sketch binary"))
+
 
-    return renumbered(numbered(docs, "doc_id", text="string").mapInPandas(keyed, "doc_id long, no_id boolean, key long, size int, sketch binary"))
+def _linked(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): keys whose fingerprints the SimHash search links: one key of each fingerprint with the others, and with one of the next."""
+    sets = keyed.where("size > 0").select("mark", "key").distinct()
+    chief = materialised(sets.groupBy("mark").agg(F.min("key").alias("chief")))
+    alike = sets.join(chief, "mark").where("key <> chief").select(F.col("chief").alias("a"), F.col("key").alias("b"))
+    ends = [chief.select(F.col("mark").alias(x), F.col("chief").alias(f"{x}_key")) for x in "ab"]
+    across = near_links(chief.select("mark"), radius).join(ends[0], "a").join(ends[1], "b").select("a_key", "b_key")
+    return alike.unionByName(across.toDF("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
@@ -292,8 +306,8 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     release(docs.sparkSession)
     shared = materialised(_shared(_prefixes(texts, common, shingle, similarity), similarity))
     release(docs.sparkSession)
-    # First neighbours in the lists: large groups are linked by as many pairs as members, and only pairs across groups remain.
-    first = _pairs(shared.withColumn("label", F.col("key")), similarity, 1)
+    # SimHash links, and first neighbours in the lists: large groups are linked by as many pairs as members, and only pairs across groups remain.
+    first = _linked(keyed, RADIUS).unionByName(_pairs(shared.withColumn("label", F.col("key")), similarity, 1)).distinct()
     near = _verified(first, sketches, texts, similarity, shingle)
     labels = components(near).select(F.col("node").alias("key"), F.col("root").alias("label"))
     named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))

@@ -37,7 +37,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     if not words:
         return 0
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for low in range(0, len(hashes), 1 << 16):
         part = hashes[low : low + (1 << 16)]

@@ -68,6 +68,19 @@ def test_nothing(no_docs):
     assert nc.near_copies(no_docs).count() == 0 and nc.drop_near_copies(no_docs).count() == 0
 
 
+def test_stage_starts_with_simhash_links(spark, edited, monkeypatch):
+    """The SimHash search runs over all fingerprints; what it misses the exact way finds, whatever its radius."""
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
+    marks, asked = {nc.majority(nc.shingle_set(t)) for _, t in edited}, []
+    near_links = nc.near_links
+    monkeypatch.setattr(nc, "near_links", lambda m, radius: asked.append(m.count()) or near_links(m, radius))
+    for radius in (nc.RADIUS, 1):
+        monkeypatch.setattr(nc, "RADIUS", radius)
+        kept = sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect())
+        assert kept == sorted({c for _, c in slow_groups(edited)})
+    assert asked == [len(marks)] * 2
+
+
 def test_sketches_rule_out_no_similar_pair():
     rng = random.Random(5)
     out = 0
