@@ -7,6 +7,7 @@ import gc
 import io
 import pickle
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialised, release, shared_dir, shared_path
 
-__all__ = ["SetAside", "WORD_SPACE", "fetch", "give_back", "kept_by_worker", "load", "make_room", "materialised", "numbered", "read", "release", "renumbered", "share", "shared_dir", "shared_path", "store", "unit_interval"]
+__all__ = ["SetAside", "WORD_SPACE", "fetch", "give_back", "giving_back", "kept_by_worker", "load", "make_room", "materialised", "numbered", "read", "release", "renumbered", "share", "shared_dir", "shared_path", "store", "unit_interval"]
 
 #: Code points that separate words, as a literal set for trim/translate.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -61,6 +62,16 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work on a task's batches, after which the worker returns what it freed: it may then wait beside the workers of other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 _FETCHED: dict[str, Any] = kept_by_worker()
 
 

@@ -18,19 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import materialised, numbered, renumbered, shared_path, store
+from .cluster import giving_back, materialised, numbered, renumbered, shared_path, store
 from .tokens import encoder
 
 END_ID = 1
-#: Texts encoded together; a word that they share is looked up once.
-TEXTS = 4000
 BLOCK = 4096
 MAGIC = b"IDLTOK2\0"
 #: Bytes of text that go to one file on average; a file is written and read by one task in memory.
 FILE_BYTES = 16 << 20
+#: Ids of a file that are unpacked together when its documents are read in turn.
+UNPACKED = 1 << 18
 
 
 def width(vocabulary_size: int) -> int:
@@ -85,6 +86,16 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]) if i + 1 < len(self.starts) else self.count)
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """The ids of each document in turn, UNPACKED ids at a time, or one document with more."""
+        low, cuts = 0, np.append(self.starts, self.count)
+        while low < len(self.starts):
+            high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + UNPACKED, "right")) - 1)
+            ids = self.ids(int(cuts[low]), int(cuts[high]))
+            at = (cuts[low : high + 1] - cuts[low]).tolist()
+            yield from (ids[a:b] for a, b in zip(at, at[1:], strict=False))
+            low = high
+
 
 def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write documents (doc_id, text) as token files in ascending doc_id order; returns a row per file.
@@ -103,25 +114,30 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None =
     placed = rows.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ordered = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, bits, doc_ids, without, sizes, got, part = encoder(vocabulary), 0, [], 0, [], [], None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, doc_ids, without, sizes, got, part = encoder(vocabulary), [], 0, [], [], None
         bits = width(max(coder.size, end_id + 1))
+        kind = np.uint16 if bits <= 16 else np.uint32
         for batch in batches:
-            for low in range(0, len(batch), TEXTS):
-                rows = batch.iloc[low : low + TEXTS]
-                part = int(rows["part"].iloc[0])
-                doc_ids.append(rows["doc_id"].to_numpy(np.int64))
-                without += int(rows["no_id"].sum())
-                for ids in coder.encode(rows["text"].tolist()):
-                    got.append(np.append(ids, np.uint32(end_id)).astype(np.uint16 if bits <= 16 else np.uint32))
-                    sizes.append(len(got[-1]))
+            if not batch.num_rows:
+                continue
+            part = batch["part"][0].as_py()
+            doc_ids.append(np.array(batch["doc_id"], np.int64))  # a copy: a view would keep the batch with its texts
+            without += batch["no_id"].true_count
+            for ids in coder.stream(batch["text"]):
+                own = np.empty(len(ids) + 1, kind)
+                own[:-1], own[-1] = ids, end_id
+                got.append(own)
+                sizes.append(len(own))
         if part is not None:
+            ids = np.concatenate(got)
+            got.clear()
             starts = np.cumsum([0, *sizes[:-1]])
             name = f"part-{part:08d}.tok"
-            store(f"{folder}/{name}", encode_file(np.concatenate(doc_ids), starts, np.concatenate(got), bits, block, without))
-            yield pd.DataFrame({"part": [part], "file": [name], "documents": [len(sizes)], "ids": [int(sum(sizes))]})
+            store(f"{folder}/{name}", encode_file(np.concatenate(doc_ids), starts, ids, bits, block, without))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "documents": pa.array([len(sizes)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
 
-    return materialised(ordered.select("doc_id", "no_id", "text", "part").mapInPandas(write, "part long, file string, documents long, ids long"))
+    return materialised(ordered.select("doc_id", "no_id", "text", "part").mapInArrow(giving_back(write), "part long, file string, documents long, ids long"))
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -137,14 +153,14 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 file = TokenFile(content)
-                ids, ends = file.ids(0, file.count), np.append(file.starts[1:], file.count)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(file.starts.tolist(), ends.tolist(), strict=True)]
+                ends = np.append(file.starts[1:], file.count)
+                crc = [zlib.crc32(ids) for ids in file.documents()]
                 yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "doc_id": file.doc_ids, "no_id": np.arange(len(crc)) < file.without_id, "at": file.starts, "n_tokens": ends - file.starts, "ids_crc32": crc})
 
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
-    docs = found.select("path", "content").mapInPandas(decode, "file string, doc_id long, no_id boolean, at long, n_tokens long, ids_crc32 long")
+    docs = found.select("path", "content").mapInPandas(giving_back(decode), "file string, doc_id long, no_id boolean, at long, n_tokens long, ids_crc32 long")
     return renumbered(docs.join(bases, "file")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,3 +120,37 @@ def test_worker_keeps_one_operators_memory(tmp_path):
     assert tokens.encoder() is not coder and not cluster._FETCHED and tokens.encoder().encode(["one two"])
     cluster.make_room()
     assert not tokens._ENCODERS
+
+
+def test_memory_does_not_follow_the_number_of_texts():
+    """What encoding takes beside its results is bounded by bytes of text, however many texts come at once."""
+    coder, texts = encoder(), ["one two three four five " * 150] * 4000
+    one = coder.encode(texts[:1])[0].tolist()
+    tracemalloc.start()
+    try:
+        got = coder.encode(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == 4000 and got[0].tolist() == got[-1].tolist() == one
+    assert most - sum(x.nbytes for x in got) < 40 << 20
+
+
+@pytest.mark.parametrize(("text_bytes", "gathered"), [(1, 1), (700, 50), (1 << 23, 1 << 17)])
+def test_texts_are_encoded_by_parts(rows, plain, monkeypatch, text_bytes, gathered):
+    from idledger.llm import tokens
+
+    monkeypatch.setattr(tokens, "TEXT_BYTES", text_bytes)
+    monkeypatch.setattr(tokens, "GATHERED", gathered)
+    texts = [r[1] for r in rows]
+    assert [x.tolist() for x in encoder(None, 100).encode(texts)] == [plain(t) for t in texts]
+    assert encoder().encode([]) == []
+
+
+@pytest.mark.parametrize("unpacked", [1, 40, 1 << 18])
+def test_documents_in_turn(monkeypatch, unpacked):
+    monkeypatch.setattr(tf, "UNPACKED", unpacked)
+    ids = np.arange(300, dtype=np.uint32)
+    for starts in ([], [0], [0, 0, 7, 7, 100, 299, 300]):
+        file = tf.TokenFile(tf.encode_file(np.arange(len(starts)), np.array(starts, np.int64), ids[: 300 if starts else 0], 16, 16))
+        assert [x.tolist() for x in file.documents()] == [file.document(i).tolist() for i in range(len(starts))]
