@@ -12,15 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialised, numbered, renumbered
+from .cluster import giving_back, materialised, numbered, renumbered
 from .tokens import encoder
 
 END_ID = 2
-#: Texts encoded together; a word that they share is looked up once.
-TEXTS = 4000
 LENGTH = 4096
 #: Tokens that one group holds on average; a group is packed by one task in memory.
 GROUP_TOKENS = 1 << 21
@@ -71,19 +70,21 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pieces(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """One row per piece of each document: its place in the document, its length and the checksum of its ids. Where no_id is true the doc_id is null."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            for low in range(0, len(batch), TEXTS):
-                part, rows = batch.iloc[low : low + TEXTS], []
-                for doc, none, ids in zip(part["doc_id"].tolist(), part["no_id"].tolist(), coder.encode(part["text"].tolist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), length):
-                        piece = ids[start : start + length]
-                        rows.append((doc, none, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                yield pd.DataFrame(rows, columns=["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return numbered(docs, "doc_id", text="string").mapInPandas(cut, PIECES)
+            rows = []
+            for doc, none, ids in zip(batch["doc_id"].to_pylist(), batch["no_id"].to_pylist(), coder.stream(batch["text"]), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for start in range(0, len(ids), length):
+                    piece = ids[start : start + length]
+                    rows.append((doc, none, start, len(piece), zlib.crc32(piece), len(ids)))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    names = [p.split()[0] for p in PIECES.split(", ")]
+    kinds = [pa.bool_() if p.endswith("boolean") else pa.int64() for p in PIECES.split(", ")]
+    return numbered(docs, "doc_id", text="string").mapInArrow(giving_back(cut), PIECES)
 
 
 def pack(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, length: int = LENGTH, group_tokens: int = GROUP_TOKENS) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,3 +155,21 @@ def test_documents_in_turn(monkeypatch, unpacked):
     for starts in ([], [0], [0, 0, 7, 7, 100, 299, 300]):
         file = tf.TokenFile(tf.encode_file(np.arange(len(starts)), np.array(starts, np.int64), ids[: 300 if starts else 0], 16, 16))
         assert [x.tolist() for x in file.documents()] == [file.document(i).tolist() for i in range(len(starts))]
+
+
+def test_cutting_takes_bounded_memory(docs, monkeypatch):
+    """What a packing worker takes for a batch of many texts is bounded by bytes of text too."""
+    from idledger.llm import packing
+
+    work, n = [], 4000
+    monkeypatch.setattr(packing, "giving_back", lambda f: work.append(f) or f)
+    packing.pieces(docs)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "no_id": [False] * n, "text": ["one two three four five " * 150] * n})
+    encoder().encode(["one two three four five"])
+    tracemalloc.start()
+    try:
+        got = [r for b in work[0](iter([batch])) for r in b["doc_id"].to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == list(range(n)) and most < 40 << 20
