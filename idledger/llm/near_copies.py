@@ -4,9 +4,10 @@ The first candidates are the links of the SimHash search by tiles (simhash.py),
 sets. Fingerprints of similar sets can differ in more bits than its radius, so an exact way follows for
 the rest: put the shingles of all sets in one order; two sets that are similar enough then share one of
 their first few. The order puts common shingles last, which decides how many candidates there are, never
-which pairs are found. Every candidate pair is held against the exact similarity, other than pairs that
-are linked already by others. Before texts are moved for that, a parity sketch of each set, some bits
-for each word, rules out what cannot be similar.
+which pairs are found. A group of like sets stands in the lists of many shingles: each list first gives
+as many pairs as it has sets, which link nearly all of such a group. Every other candidate pair is then
+held against the exact similarity, other than pairs that are linked already by others. Before texts are
+moved for that, a parity sketch of each set, some bits for each word, rules out what cannot be similar.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SIMILARITY = 0.8
 #: Bits that fingerprints of SimHash candidates differ in at most.
 RADIUS = 3
 #: Texts whose shingles are counted for the order, one in ORDER_SHARE at least, and the shingles that are known as common at most.
-ORDER_TEXTS, ORDER_SHARE, COMMON = 10_000, 20, 100_000
+ORDER_TEXTS, ORDER_SHARE, COMMON = 10_000, 4, 400_000
 #: The least and most bits of a parity sketch.
 SKETCH = 64, 1 << 16
 #: Texts whose shingles are handed on at once.
@@ -39,6 +40,8 @@ SLICE = 128
 #: Bits of a key that say whether its set can be a candidate; others with the same bits are read along and joined with nothing.
 BITS = 26
 _SLACK = 1e-9
+#: An odd number that scatters what it multiplies.
+_SCATTER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -104,7 +107,7 @@ def _linked(keyed: DataFrame, radius: int) -> DataFrame:
 
 
 def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
-    """Shingles that several texts of a sample share, the most common last."""
+    """Shingles that several texts of a sample share, the most common last: COMMON at most, where equally common ones are all in or all out."""
 
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,9 +116,16 @@ def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
 
     parts = max(1, min(rows // ORDER_TEXTS, ORDER_SHARE))
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").distinct()
-    found = some.mapInPandas(exploded, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
-    top = found.orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    found = materialised(some.mapInPandas(exploded, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2"))
+    least, room = 3, COMMON
+    for n, tokens in sorted(found.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        room -= tokens
+        if room < 0:
+            least = n + 1
+            break
+    top = found.where(F.col("n") >= least).toArrow()
+    token = top["token"].to_numpy()
+    return token[np.lexsort((-token, top["n"].to_numpy()))].view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, similarity: float) -> DataFrame:
@@ -201,15 +211,35 @@ def _shared(prefixes: DataFrame, similarity: float) -> DataFrame:
     return _sorted(prefixes).mapInPandas(shared, "token long, key long, n int, place int")
 
 
-def _pairs(shared: DataFrame, similarity: float, furthest: int | None = None) -> DataFrame:
-    """(a, b): keys of different labels under one token that fit each other; `furthest` places apart in its list at most."""
+def _spanning(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys under one token that fit each other, two pairs of each row at most: with the next in the token's list, where
+    equal sizes come in an order of the token's own, and with the row whose prefix reaches the token first, which has the
+    fewest rare shingles. A group's sets meet many others of it in this way, and its centre, whatever its size."""
+
+    def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in _runs(batches):
+            token, key = run["token"].to_numpy(), run["key"].to_numpy()
+            n, place = run["n"].to_numpy(np.int64), run["place"].to_numpy(np.int64)
+            listed = np.lexsort(((key ^ token).view(np.uint64) * _SCATTER, n, token))
+            central = np.lexsort((key, place, token))
+            hub = central[np.searchsorted(token[central], token[central])]
+            i, j = np.concatenate([listed[:-1], central]), np.concatenate([listed[1:], hub])
+            alike = (token[i] == token[j]) & (key[i] != key[j]) & _fits(n, place, i, j, similarity)
+            i, j = i[alike], j[alike]
+            yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
+
+    return _sorted(shared).mapInPandas(spanning, "a long, b long").distinct()
+
+
+def _pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys of different labels under one token that fit each other."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _runs(batches):
             token, key, label = (run[c].to_numpy() for c in ("token", "key", "label"))
             n, place = run["n"].to_numpy(np.int64), run["place"].to_numpy(np.int64)
             at, d = np.arange(len(run)), 1
-            while len(at) and (furthest is None or d <= furthest):
+            while len(at):
                 at = at[at + d < len(run)]
                 at = at[(token[at] == token[at + d]) & (n[at] >= similarity * n[at + d] - _SLACK)]
                 fit = at[(label[at] != label[at + d]) & _fits(n, place, at, at + d, similarity)]
@@ -306,8 +336,8 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     release(docs.sparkSession)
     shared = materialised(_shared(_prefixes(texts, common, shingle, similarity), similarity))
     release(docs.sparkSession)
-    # SimHash links, and first neighbours in the lists: large groups are linked by as many pairs as members, and only pairs across groups remain.
-    first = _linked(keyed, RADIUS).unionByName(_pairs(shared.withColumn("label", F.col("key")), similarity, 1)).distinct()
+    # SimHash links, and two pairs of each row in the lists: large groups are linked by as many pairs as rows, and only pairs across groups remain.
+    first = _linked(keyed, RADIUS).unionByName(_spanning(shared, similarity)).distinct()
     near = _verified(first, sketches, texts, similarity, shingle)
     labels = components(near).select(F.col("node").alias("key"), F.col("root").alias("label"))
     named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))

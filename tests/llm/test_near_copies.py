@@ -107,3 +107,48 @@ def test_texts_move_for_few_pairs(spark, monkeypatch):
     got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(slow_groups(rows), key=repr)
     assert sum(moved) <= 4
+
+
+def counted(monkeypatch):
+    """The number of candidate pairs of each round, filled in while near_copies runs."""
+    asked, verified = [], nc._verified
+    monkeypatch.setattr(nc, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    return asked
+
+
+def test_a_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """Copies of one text with a few words changed each, some too many to be linked: candidates do not grow with the square of their number."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3, 3, 4))):
+            words[at] = word()
+        rows.append((i, " ".join(words)))
+    asked = counted(monkeypatch)
+    got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(slow_groups(rows))
+    assert len(asked) == 2 and asked[0] < 25 * len(rows) and asked[1] < 5 * len(rows)
+
+
+def test_shared_passages_are_known_as_common(spark, monkeypatch):
+    """Passages that 40 texts share, more than half of each, stay out of the prefixes."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(20)]
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + passages[i % 20]) for i in range(800)]
+    monkeypatch.setattr(nc, "ORDER_TEXTS", 10)
+    asked = counted(monkeypatch)
+    got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(800)]
+    assert sum(asked) < 2 * len(rows)
+
+
+def test_known_shingles_have_a_bound(spark, monkeypatch):
+    texts = ["a b c d e f"] * 9 + ["b c d e f g"] * 5 + ["x y z u v"] * 4
+    docs = spark.createDataFrame([(i, f"{t} {i} {i} {i} {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    for bound, want in ((100, [4, 5, 9, 14]), (3, [5, 9, 14]), (2, [9, 14]), (0, [])):
+        monkeypatch.setattr(nc, "COMMON", bound)
+        order, sets = nc._common(docs, 18, 5).tolist(), [set(nc.shingle_set(t).tolist()) for _, t in docs.collect()]
+        assert [sum(s in own for own in sets) for s in order] == want
