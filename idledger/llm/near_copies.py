@@ -5,7 +5,7 @@ sets. Fingerprints of similar sets can differ in more bits than its radius, so a
 the rest: put the shingles of all sets in one order; two sets that are similar enough then share one of
 their first few. The order puts common shingles last, which decides how many candidates there are, never
 which pairs are found. A group of like sets stands in the lists of many shingles: each list first gives
-as many pairs as it has sets, which link nearly all of such a group. Every other candidate pair is then
+two pairs a set at most, which mostly link all of such a group. Every other candidate pair is then
 held against the exact similarity, other than pairs that are linked already by others. Before texts are
 moved for that, a parity sketch of each set, some bits for each word, rules out what cannot be similar.
 """
