@@ -15,8 +15,11 @@ _BASE64 = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 
 def encode_lines(entries: DataFrame) -> DataFrame:
-    """Entries (message_id, server_id, created_at, hash_hi, hash_lo) as journal lines in a column `value`."""
-    parts = [F.base64(F.col(c).cast("binary")) for c in ("message_id", "server_id")]
+    """Entries (message_id, server_id, created_at, hash_hi, hash_lo) as journal lines in a column `value`.
+
+    Spark's base64 breaks after 76 characters, which is 57 bytes of text; the breaks are taken out, so that an entry is one line.
+    """
+    parts = [F.translate(F.base64(F.col(c).cast("binary")), "\r\n", "") for c in ("message_id", "server_id")]
     parts += [timestamp_to_ticks(F.col("created_at")).cast("string"), unsigned(F.col("hash_hi")).cast("string"), unsigned(F.col("hash_lo")).cast("string")]
     return entries.withColumn("value", F.concat_ws("|", *parts))
 
