@@ -18,3 +18,8 @@ def pages(spark, tmp_path_factory):
 
 def test_decode_long_ids(spark, pages):
     assert differs(spark, pages[0], registry.QUERIES["journal_decode"], registry.ORACLES["journal_decode"], pages[1]) == ""
+
+
+def test_encode_long_ids(spark, pages):
+    assert differs(spark, pages[0], registry.QUERIES["journal_encode"], registry.ORACLES["journal_encode"], pages[1]) == ""
+    assert registry.QUERIES["journal_encode"](spark, pages[1]).where("value rlike '[\\r\\n]'").count() == 0
