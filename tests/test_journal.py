@@ -23,3 +23,9 @@ def test_decode_long_ids(spark, pages):
 def test_encode_long_ids(spark, pages):
     assert differs(spark, pages[0], registry.QUERIES["journal_encode"], registry.ORACLES["journal_encode"], pages[1]) == ""
     assert registry.QUERIES["journal_encode"](spark, pages[1]).where("value rlike '[\\r\\n]'").count() == 0
+
+
+def test_invalid_count_of_long_ids(spark, pages):
+    """Only the damaged lines are invalid: those of page_id % 7 in 1, 3 and 4."""
+    assert differs(spark, pages[0], registry.QUERIES["journal_invalid_count"], registry.ORACLES["journal_invalid_count"], pages[1]) == ""
+    assert tuple(registry.QUERIES["journal_invalid_count"](spark, pages[1]).first()) == (240, 103)
