@@ -283,52 +283,61 @@ class HistoryStore:
         closed = m.active_generation
         if cause:
             m.active_generation, m.used, m.failures = closed + 1, {}, {}
+        words = self._words_after(m, closed, bool(cause))
         self.manifest = self.catalog.commit(m, {batch_id})
         self.catalog.delete(stage)
         event("committed", batch=batch_id, inserted=n, generation=closed)
         if cause:
             event("rolled_over", generation=closed + 1, cause=cause)
-        self._words_after(closed, bool(cause))
+        if words:
+            event("bloom_stored", generation=closed, bits=o.bloom_bits)
         if len(self.manifest.expired) > MOST_TOMBSTONES:
             self._merge_tombstones()
 
     # Words of the generations' filters.
 
-    def _uncovered(self, generation: int) -> list[str]:
-        covered = set(self.manifest.bloom.get(str(generation), {}).get("batches", ()))
-        return [k for k, b in self.manifest.batches.items() if b["generation"] == generation and b["entries"] and k not in covered]
-
-    def _words_after(self, generation: int, closed: bool) -> None:
-        """Words are stored when a generation closes; before that after every batch, or after every bloom_checkpoint_interval inserts."""
-        o, waiting = self.options, sum(self.manifest.batches[k]["inserted"] for k in self._uncovered(generation))
+    @staticmethod
+    def _uncovered(m: Manifest, generation: int) -> list[str]:
+        covered = set(m.bloom.get(str(generation), {}).get("batches", ()))
+        return [k for k, b in m.batches.items() if b["generation"] == generation and b["entries"] and k not in covered]
+
+    def _words_after(self, m: Manifest, generation: int, closed: bool) -> bool:
+        """Words are stored when a generation closes; before that after every batch, or after every bloom_checkpoint_interval
+        inserts. They are listed in m, so that a batch, what it closes and its words are one version."""
+        o, waiting = self.options, sum(m.batches[k]["inserted"] for k in self._uncovered(m, generation))
         due = closed or (waiting and (o.bloom_persist_mode == "durability" or waiting >= o.bloom_checkpoint_interval))
         if due and not closed and o.bloom_bits // 8 > o.bloom_checkpoint_max_bytes:
             event("bloom_skipped", generation=generation, bytes=o.bloom_bits // 8, most=o.bloom_checkpoint_max_bytes)
-        elif due:
-            self._store_words(generation)
+            return False
+        return bool(due) and self._write_words(m, generation)
 
-    def _store_words(self, generation: int, afresh: bool = False) -> None:
-        """Add the words of the batches that are not covered to the stored ones of a generation; all of them `afresh`."""
-        bits, old = self.options.bloom_bits, self.manifest.bloom.get(str(generation))
+    def _write_words(self, m: Manifest, generation: int, afresh: bool = False) -> bool:
+        """Add the words of the batches that are not covered to the stored ones of a generation, all of them `afresh`, and
+        list them in m; whether there were any."""
+        bits, old = self.options.bloom_bits, m.bloom.get(str(generation))
         afresh = afresh or not old or old["bits"] != bits
-        names = [k for k, b in self.manifest.batches.items() if b["generation"] == generation and b["entries"]] if afresh else self._uncovered(generation)
+        names = [k for k, b in m.batches.items() if b["generation"] == generation and b["entries"]] if afresh else self._uncovered(m, generation)
         if not names:
-            return
-        rows = self._read(dict.fromkeys(self.manifest.batches[k]["entries"] for k in names), ENTRIES).withColumn("generation", F.lit(generation))
+            return False
+        rows = self._read(dict.fromkeys(m.batches[k]["entries"] for k in names), ENTRIES).withColumn("generation", F.lit(generation))
         words, by = bloom.build(rows, bits, by=["generation", "shard_id"]), ["generation", "shard_id"]
         if not afresh:
             words = bloom.merge(self._read([old["path"]], WORDS), words, by=by)
         name = f"bloom/generation_id={generation}-{uuid.uuid4().hex}"
         words.select("generation", "shard_id", "word_idx", "word").write.parquet(f"{self.catalog.root}/{name}")
-        m = copy.deepcopy(self.manifest)
         m.bloom[str(generation)] = {"path": name, "bits": bits, "batches": names if afresh else [*old["batches"], *names]}
-        self.manifest = self.catalog.commit(m, set())
-        event("bloom_stored", generation=generation, bits=bits)
+        return True
+
+    def _store_words(self, generation: int, afresh: bool = False) -> None:
+        m = copy.deepcopy(self.manifest)
+        if self._write_words(m, generation, afresh):
+            self.manifest = self.catalog.commit(m, set())
+            event("bloom_stored", generation=generation, bits=self.options.bloom_bits)
 
     def persist_words(self) -> None:
         """Store the words of all retained generations, those without any included."""
         for g in self.manifest.retained(self.options.max_retained_generations):
-            if self._uncovered(g):
+            if self._uncovered(self.manifest, g):
                 self._store_words(g)
 
     # Tombstones.
